@@ -26,7 +26,7 @@ def canonical_doi(c: Column) -> Column:
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(s, r"\+", "%2B")), s)
     s = F.regexp_replace(F.lower(decoded), r"[\s\p{Z}\p{Cf}]+", "")
     body = F.regexp_extract(s, r"(10\.\d{4,9}(?:\.\d+)*/[^?#]+)", 1)
-    body = F.regexp_replace(body, r"[.,;:!)\]}>\"'”’]+$", "")
+    body = F.regexp_replace(body, r"[.,;:!/)\]}>\"'”’]+$", "")
     return F.when(F.length(body) > 0, body)
 
 
