@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from biblioflux.llm.components import record_groups
 from biblioflux.llm.format_duplicates import canonical_key, copy_groups
+from biblioflux.llm.record_survivors import surviving_fields
+from biblioflux.llm.truncation import cut_records, cut_shares
 from biblioflux.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +33,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "deduplicated_records").select("cluster_id", "doi", "pmid", "arxiv_id", "title_normalized")
     return record_groups(records)
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surviving_fields(table(spark, sf_dir, "deduplicated_records"), table(spark, sf_dir, "venues"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_records(table(spark, sf_dir, "deduplicated_records"), "cluster_id", "abstract", "abstract_source")
+    return cut.filter("is_cut").select("cluster_id", "abstract_source")
+
+
+@query
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "deduplicated_records").filter("abstract_source is not null")
+    return cut_shares(cut_records(records, "cluster_id", "abstract", "abstract_source"), "abstract_source")
