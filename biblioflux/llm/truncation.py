@@ -30,7 +30,7 @@ LOW_SHARE = 0.01
 
 
 #: SQL: the words of a text in lower case, with '.' for a sentence end, '#' for words with figures and '^' for names with inner capitals.
-WORDS = """filter(split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(TEXT, :digit, '#'), :name, '^'), :stop, ' . '), :mark, '')), :ws), w -> w <> '')"""
+WORDS = """filter(split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(TEXT, :ws, ' '), :digit, '#'), :name, '^'), :stop, ' . '), :mark, '')), ' '), w -> w <> '')"""
 
 #: LATERAL VIEW explode(array(x)) evaluates x once a row; a plain column would be computed again for every use of it.
 TIDY = """
@@ -94,10 +94,10 @@ FROM judged
 """
 
 ARGS = {
-    "ws": f"[{WS}]+", "edges": f"^[{WS}]+|[{WS}]+$", "right": f"[{WS}\ufffd]+$", "stop": rf"[.!?][\"”’)\]]*(?=[{WS}]|$)", "letter": r"[\p{L}\p{N}]",
-    "mark": rf"(?<![{WS}])\.|[^\p{{L}}#^.{WS}]",
+    "ws": f"[{WS}]+", "edges": f"^[{WS}]+|[{WS}]+$", "right": f"[{WS}\ufffd]+$", "stop": r"[.!?][\"”’)\]]*(?= |$)", "letter": r"[\p{L}\p{N}]",
+    "mark": r"(?<! )\.|[^\p{L}#^. ]",
     "tag": r"</?[a-zA-Z!][^<>]*>", "entity": r"&(?:amp;)?(?:lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);",
-    "digit": rf"[^{WS}]*[0-9](?:[^{WS}]*[^{WS}.!?,;:])?", "name": r"\b(?:[\p{L}&&[^A-Z]]++[A-Z]|[A-Z][\p{L}&&[^A-Z]]++[A-Z]|[A-Z]{2,})[\p{L}-]*",
+    "digit": r"(?<![^ ])[^ 0-9]*+[0-9](?:[^ ]*[^ .!?,;:\"”’)\]])?", "name": r"\b(?:[\p{L}&&[^A-Z]]++[A-Z]|[A-Z][\p{L}&&[^A-Z]]++[A-Z]|[A-Z]{2,})[\p{L}-]*",
     "no_text": NO_TEXT, "cut_mark": CUT_MARK, "open_tag": OPEN_TAG, "open_entity": OPEN_ENTITY, "terminated": TERMINATED,
     "address": ADDRESS, "keywords": KEYWORDS, "bracketed": BRACKETED,
 }
