@@ -249,10 +249,11 @@ def split_packed(df: DataFrame, field: str, source: Column, value: str = "value"
     its length. ``pos`` and ``value`` replace columns of those names. An empty table gives an empty table.
     """
 
-    @F.pandas_udf(ArrayType(StringType()))
     def pieces(vals: pd.Series, profiles: pd.Series) -> pd.Series:
         return pd.Series([split_field(v, dict(p) if p is not None else None) for v, p in zip(vals, profiles, strict=True)])
 
+    # as nondeterministic it is evaluated once, and not again for the filter that an explode brings along
+    pieces = F.pandas_udf(pieces, ArrayType(StringType())).asNondeterministic()
     profiles = source_profiles(df, field, source).withColumnRenamed("src", "__src").withColumnRenamed("profile", "__profile")
     keep = [c for c in df.columns if c not in (field, value, pos)]
     rows = df.select(*keep, F.col(field).alias("__val"), F.coalesce(source, F.lit("")).alias("__src"))
