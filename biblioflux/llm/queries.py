@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from biblioflux.llm.components import record_groups
 from biblioflux.llm.format_duplicates import canonical_key, copy_groups
+from biblioflux.llm.lookalikes import consistent
 from biblioflux.llm.record_survivors import surviving_fields
 from biblioflux.llm.truncation import cut_records, cut_shares
 from biblioflux.session import table
@@ -50,3 +51,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "deduplicated_records").filter("abstract_source is not null")
     return cut_shares(cut_records(records, "cluster_id", "abstract", "abstract_source"), "abstract_source")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "deduplicated_records").select("cluster_id", "title", "authors")
+    return consistent(records, ["title", "authors"]).select("cluster_id", F.explode("changed").alias("field"))
+
+
+@query
+def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "deduplicated_records").select("cluster_id", "title", "authors")
+    return consistent(records, ["title", "authors"]).select("cluster_id", "title", "authors")
