@@ -29,31 +29,37 @@ LEAST_INSIDE = 30
 LOW_SHARE = 0.01
 
 
-#: SQL: the words of a text in lower case, with '.' for a sentence end, '#' for words with figures and '^' for names with inner capitals.
-WORDS = """filter(split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(TEXT, :ws, ' '), :digit, '#'), :name, '^'), :stop, ' . '), :mark, '')), ' '), w -> w <> '')"""
+#: SQL: words in lower case; those with figures or inner capitals become the class '#', with their closing punctuation kept.
+WORDS = """split(lower(regexp_replace(TEXT, :mask, '#')), :ws)"""
+#: SQL: a word's hash without outer punctuation, and whether a sentence ends behind it.
+BARE = "xxhash64(trim(BOTH :outer FROM w))"
+STOPS = "right(rtrim(:closing, w), 1) IN ('.', '!', '?', '。', '！', '？')"
 
 #: LATERAL VIEW explode(array(x)) evaluates x once a row; a plain column would be computed again for every use of it.
 TIDY = """
 base AS (
-  SELECT $id AS id, $source AS src, regexp_replace($text, :edges, '') AS raw FROM {df}
+  SELECT $id AS id, $source AS src, trim(BOTH :blank FROM $text) AS raw FROM {df}
 ), tidy AS (
-  SELECT id, src, raw, raw IS NULL OR NOT raw RLIKE :letter OR raw RLIKE :no_text AS empty, t.body
-  FROM base LATERAL VIEW explode(array(regexp_replace(regexp_replace(regexp_replace(raw, :tag, ' '), :entity, ' '), :right, ''))) t AS body
+  SELECT id, src, raw, raw IS NULL OR NOT raw RLIKE :letter OR (length(raw) < 200 AND raw RLIKE :no_text) AS empty, t.body
+  FROM base LATERAL VIEW explode(array(rtrim(:blank, CASE
+    WHEN contains(raw, '<') THEN regexp_replace(regexp_replace(raw, :tag, ' '), :entity, ' ')
+    WHEN contains(raw, '&') THEN regexp_replace(raw, :entity, ' ') ELSE raw END))) t AS body
 ), heads AS (
   SELECT id, src, raw, empty, body, t.head FROM tidy LATERAL VIEW explode(array(
-    CASE WHEN right(body, 40) RLIKE :cut_mark THEN regexp_replace(regexp_replace(body, :cut_mark, ''), :right, '') ELSE body END)) t AS head
+    CASE WHEN right(body, 40) RLIKE :cut_mark THEN rtrim(:blank, regexp_replace(body, :cut_mark, '')) ELSE body END)) t AS head
 )"""
 
-#: Each trigram (by hash, beside the hashes of its last two words and last word) inside sentences and at their ends. The last trigram
-#: of a text without a full stop counts for neither.
+#: Each trigram (by hash, beside the hash of its last word) inside sentences and at their ends. The last trigram of a text without a
+#: full stop counts for neither.
 COUNT = f"""
 WITH {TIDY}, words AS (
-  SELECT t.w FROM heads LATERAL VIEW explode(array({WORDS.replace("TEXT", "head")})) t AS w WHERE NOT empty
+  SELECT t.w FROM heads LATERAL VIEW explode(array(transform({WORDS.replace("TEXT", "head")}, w -> named_struct('h', {BARE}, 'stop', {STOPS})))) t AS w
+  WHERE NOT empty
 )
-SELECT h3, first(h2) AS h2, first(h1) AS h1, count_if(stop) AS ends, count_if(NOT stop) AS inside
-FROM (SELECT inline(transform(sequence(3, size(w) - 1), i -> named_struct(
-        'h3', CASE WHEN w[i - 1] <> '.' THEN xxhash64(w[i - 3], w[i - 2], w[i - 1]) END, 'h2', xxhash64(w[i - 2], w[i - 1]), 'h1', xxhash64(w[i - 1]), 'stop', w[i] = '.')))
-      FROM words WHERE size(w) > 3)
+SELECT h3, first(h1) AS h1, count_if(stop) AS ends, count_if(NOT stop) AS inside
+FROM (SELECT inline(transform(sequence(3, size(w)), i -> named_struct(
+        'h3', CASE WHEN w[i - 1].stop OR i < size(w) THEN xxhash64(w[i - 3].h, w[i - 2].h, w[i - 1].h) END, 'h1', w[i - 1].h, 'stop', w[i - 1].stop)))
+      FROM words WHERE size(w) >= 3)
 WHERE h3 IS NOT NULL
 GROUP BY h3
 """
@@ -62,25 +68,20 @@ JUDGE = f"""
 WITH {TIDY}, ends AS (
   -- the last three words, however long they are
   SELECT id, src, raw, empty, body, head, NOT empty AND NOT right(head, 40) RLIKE :terminated AS open_end, t.w
-  FROM heads LATERAL VIEW explode(array(filter({WORDS.replace("TEXT", "array_join(reverse(slice(reverse(split(head, :ws)), 1, 3)), ' ')")}, w -> w <> '.'))) t AS w
+  FROM heads LATERAL VIEW explode(array(reverse(slice(reverse({WORDS.replace("TEXT", "substring_index(head, ' ', -3)")}), 1, 3)))) t AS w
 ), hashed AS (
-  SELECT id, src, raw, empty, body, body <> head AS has_mark, open_end, try_element_at(w, -1) AS l3, xxhash64(try_element_at(w, -1)) AS k1,
-         CASE WHEN size(w) > 1 THEN xxhash64(try_element_at(w, -2), try_element_at(w, -1)) END AS k2,
-         CASE WHEN size(w) > 2 THEN xxhash64(try_element_at(w, -3), try_element_at(w, -2), try_element_at(w, -1)) END AS k3
-  FROM ends
-), pairs AS (
-  SELECT h2, sum(ends) AS ends, sum(inside) AS inside FROM {{grams}} GROUP BY h2
+  SELECT id, src, raw, empty, body, body <> head AS has_mark, open_end, try_element_at(w, -1) AS l3, try_element_at(h, -1) AS k1,
+         CASE WHEN size(h) > 2 THEN xxhash64(h[0], h[1], h[2]) END AS k3
+  FROM (SELECT *, transform(w, w -> {BARE}) AS h FROM ends)
 ), singles AS (
   SELECT h1, sum(ends) AS ends, sum(inside) AS inside FROM {{grams}} GROUP BY h1
 ), judged AS (
   SELECT k.*, g.ends AS e3, g.inside AS i3,
          CASE WHEN g.ends + g.inside >= 3 THEN g.ends / (g.ends + g.inside)
-              WHEN p.ends + p.inside >= 3 THEN p.ends / (p.ends + p.inside)
               WHEN s.ends + s.inside >= 3 THEN s.ends / (s.ends + s.inside) ELSE 0 END AS share,
-         CASE WHEN g.ends + g.inside >= 3 AND NOT l3 IN ('#', '^') THEN {LEAST_END_SHARE} ELSE {LEAST_SHORT_SHARE} END AS least
+         CASE WHEN g.ends + g.inside >= 3 AND NOT contains(l3, '#') THEN {LEAST_END_SHARE} ELSE {LEAST_SHORT_SHARE} END AS least
   FROM hashed k
   LEFT JOIN {{grams}} g ON g.h3 = k3
-  LEFT JOIN pairs p ON p.h2 = k2
   LEFT JOIN singles s ON s.h1 = k1
 )
 SELECT id AS $id, src AS $source, CASE
@@ -93,11 +94,11 @@ SELECT id AS $id, src AS $source, CASE
 FROM judged
 """
 
+BLANK = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace()) + "\ufffd"
 ARGS = {
-    "ws": f"[{WS}]+", "edges": f"^[{WS}]+|[{WS}]+$", "right": f"[{WS}\ufffd]+$", "stop": r"[.!?][\"”’)\]]*(?= |$)", "letter": r"[\p{L}\p{N}]",
-    "mark": r"(?<! )\.|[^\p{L}#^. ]",
+    "ws": f"[{WS}]+", "blank": BLANK, "letter": r"[\p{L}\p{N}]", "outer": ".,;:!?()[]{}\"'“”‘’«»", "closing": "\"'”’»)]",
     "tag": r"</?[a-zA-Z!][^<>]*>", "entity": r"&(?:amp;)?(?:lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);",
-    "digit": r"(?<![^ ])[^ 0-9]*+[0-9](?:[^ ]*[^ .!?,;:\"”’)\]])?", "name": r"\b(?:[\p{L}&&[^A-Z]]++[A-Z]|[A-Z][\p{L}&&[^A-Z]]++[A-Z]|[A-Z]{2,})[\p{L}-]*",
+    "mask": r"(?<!\S)[A-Z]?+[^\s0-9A-Z]*+[0-9A-Z](?:\S*[^\s.!?,;:\"”’)\]])?",
     "no_text": NO_TEXT, "cut_mark": CUT_MARK, "open_tag": OPEN_TAG, "open_entity": OPEN_ENTITY, "terminated": TERMINATED,
     "address": ADDRESS, "keywords": KEYWORDS, "bracketed": BRACKETED,
 }
@@ -107,8 +108,8 @@ def cut_records(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame
     """(row_id, source, is_cut) for every row; placeholders, null and blank texts are never cut.
 
     A text is cut if it stops inside a tag or an entity, ends in a mark of truncation, or lacks a full stop and its final trigram is
-    frequent inside sentences but almost never at their ends. A final trigram that is rare falls back on its last two words and
-    then its last word, and a last word seen nowhere else is a piece of a word. Texts are read whole; ties and repeated rows don't
+    frequent inside sentences but almost never at their ends. A final trigram that is rare falls back on its last
+    word, and a last word seen nowhere else is a piece of a word. Texts are read whole; ties and repeated rows don't
     matter, as every row is judged by itself; an empty table gives an empty table.
     """
 
@@ -129,4 +130,4 @@ def cut_shares(cut: DataFrame, source: str) -> DataFrame:
 def is_no_text(c: Column) -> Column:
     """True for null, blank and placeholder texts."""
     s = F.coalesce(c, F.lit(""))
-    return ~s.rlike(r"[\p{L}\p{N}]") | F.regexp_replace(s, f"^[{WS}]+|[{WS}]+$", "").rlike(NO_TEXT)
+    return ~s.rlike(r"[\p{L}\p{N}]") | (F.length(s) < 400) & F.regexp_replace(s, f"^[{WS}]+|[{WS}]+$", "").rlike(NO_TEXT)
