@@ -13,8 +13,10 @@ def join_aggregate(rows: DataFrame, agg: DataFrame, keys: list[str], n: str, hot
     """Inner join of ``rows`` with ``agg`` (one row per key, ``n`` = rows of the key).
 
     Rows of a hot key are spread over ceil(n / hot_rows) salts, and its single aggregate row is repeated for each of them.
-    Null keys match nothing. ``agg`` is used twice, so it should be cheap or materialized.
+    Null keys match nothing. ``agg`` is read up to three times, so it should be materialized.
     """
+    if (agg.agg(F.max(n)).first()[0] or 0) <= hot_rows:
+        return rows.join(agg, keys)
     hot = agg.filter(F.col(n) > hot_rows).select(*keys, F.ceil(F.col(n) / hot_rows).cast("int").alias("__salts"))
     salted = rows.join(F.broadcast(hot), keys, "left")
     salted = salted.withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("__salts")).cast("int"))).drop("__salts")
