@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,13 @@ LEAST_INSIDE = 30
 LOW_SHARE = 0.01
 
 
+#: SQL: a text with single blanks between words and one before the first; a pattern is applied only where it can change something.
+SPACED = "concat(' ', replace(replace(replace(replace(TEXT, :nl, ' '), :cr, ' '), :tab, ' '), :nbsp, ' '))"
 #: SQL: words in lower case; those with figures or inner capitals become the class '#', with their closing punctuation kept.
-WORDS = """split(lower(regexp_replace(TEXT, :mask, '#')), :ws)"""
-#: SQL: a word's hash without outer punctuation, and whether a sentence ends behind it.
-BARE = "xxhash64(trim(BOTH :outer FROM w))"
-STOPS = "right(rtrim(:closing, w), 1) IN ('.', '!', '?', '。', '！', '？')"
+WORDS = f"split(ltrim(lower(regexp_replace(CASE WHEN contains({SPACED}, '  ') THEN regexp_replace({SPACED}, ' +', ' ') ELSE {SPACED} END, :mask, ' #'))), ' ')"
+#: SQL: a word's hash without outer punctuation, its lowest bit telling whether a sentence ends behind it.
+STOPS = "(right(w, 1) IN ('.', '!', '?', '。') OR right(w, 1) IN (')', '\"', '”', '’', '»', ']') AND right(rtrim(:closing, w), 1) IN ('.', '!', '?', '。'))"
+HASHES = f"transform({WORDS}, w -> (xxhash64(trim(BOTH :outer FROM w)) & -2) | CASE WHEN {STOPS} THEN 1 ELSE 0 END)"
 
 #: LATERAL VIEW explode(array(x)) evaluates x once a row; a plain column would be computed again for every use of it.
 TIDY = """
@@ -53,59 +57,61 @@ base AS (
 #: full stop counts for neither.
 COUNT = f"""
 WITH {TIDY}, words AS (
-  SELECT t.w FROM heads LATERAL VIEW explode(array(transform({WORDS.replace("TEXT", "head")}, w -> named_struct('h', {BARE}, 'stop', {STOPS})))) t AS w
-  WHERE NOT empty
+  SELECT t.w FROM heads LATERAL VIEW explode(array({HASHES.replace("TEXT", "head")})) t AS w WHERE NOT empty
 )
-SELECT h3, first(h1) AS h1, count_if(stop) AS ends, count_if(NOT stop) AS inside
-FROM (SELECT inline(transform(sequence(3, size(w)), i -> named_struct(
-        'h3', CASE WHEN w[i - 1].stop OR i < size(w) THEN xxhash64(w[i - 3].h, w[i - 2].h, w[i - 1].h) END, 'h1', w[i - 1].h, 'stop', w[i - 1].stop)))
-      FROM words WHERE size(w) >= 3)
-WHERE h3 IS NOT NULL
+SELECT h3, first(h1 & -2) AS h1, count_if(h1 & 1 = 1) AS ends, count_if(h1 & 1 = 0) AS inside
+FROM (SELECT inline(transform(sequence(3, size(w) - 1 + CAST(try_element_at(w, -1) & 1 AS INT)), i -> named_struct(
+        'h3', xxhash64(w[i - 3], w[i - 2], w[i - 1] & -2), 'h1', w[i - 1])))
+      FROM words WHERE size(w) > 3)
 GROUP BY h3
 """
 
+#: The verdict where the text alone decides (null where its final trigram has to), so that no text is shuffled.
 JUDGE = f"""
 WITH {TIDY}, ends AS (
-  -- the last three words, however long they are
-  SELECT id, src, raw, empty, body, head, NOT empty AND NOT right(head, 40) RLIKE :terminated AS open_end, t.w
-  FROM heads LATERAL VIEW explode(array(reverse(slice(reverse({WORDS.replace("TEXT", "substring_index(head, ' ', -3)")}), 1, 3)))) t AS w
+  SELECT id, src, CASE
+      WHEN empty THEN false
+      WHEN raw RLIKE :open_tag OR raw RLIKE :open_entity THEN true
+      WHEN body <> head THEN true
+      WHEN right(head, 40) RLIKE :terminated THEN NULL
+      WHEN body RLIKE :address OR body RLIKE :keywords OR body RLIKE :bracketed THEN false END AS verdict,
+    right(head, 40) RLIKE :terminated AS stopped, CASE WHEN NOT empty THEN substring_index(head, ' ', -3) END AS tail
+  FROM (SELECT id, src, raw, empty, body, head FROM heads)
 ), hashed AS (
-  SELECT id, src, raw, empty, body, body <> head AS has_mark, open_end, try_element_at(w, -1) AS l3, try_element_at(h, -1) AS k1,
-         CASE WHEN size(h) > 2 THEN xxhash64(h[0], h[1], h[2]) END AS k3
-  FROM (SELECT *, transform(w, w -> {BARE}) AS h FROM ends)
+  -- the last three words, however long they are; keys of texts that ask nothing match nothing and don't gather in one task
+  SELECT id, src, verdict, stopped, h[size(h) - 1] & -2 = xxhash64('#') & -2 AS classed, coalesce(try_element_at(h, -1) & -2, xxhash64(id, src)) AS k1,
+         CASE WHEN verdict IS NULL AND size(h) > 2 THEN xxhash64(h[size(h) - 3], h[size(h) - 2], h[size(h) - 1] & -2) ELSE xxhash64(src, id) END AS k3
+  FROM ends LATERAL VIEW explode(array({HASHES.replace("TEXT", "tail")})) t AS h
 ), singles AS (
   SELECT h1, sum(ends) AS ends, sum(inside) AS inside FROM {{grams}} GROUP BY h1
 ), judged AS (
   SELECT k.*, g.ends AS e3, g.inside AS i3,
          CASE WHEN g.ends + g.inside >= 3 THEN g.ends / (g.ends + g.inside)
               WHEN s.ends + s.inside >= 3 THEN s.ends / (s.ends + s.inside) ELSE 0 END AS share,
-         CASE WHEN g.ends + g.inside >= 3 AND NOT contains(l3, '#') THEN {LEAST_END_SHARE} ELSE {LEAST_SHORT_SHARE} END AS least
+         CASE WHEN g.ends + g.inside >= 3 AND NOT classed THEN {LEAST_END_SHARE} ELSE {LEAST_SHORT_SHARE} END AS least
   FROM hashed k
   LEFT JOIN {{grams}} g ON g.h3 = k3
   LEFT JOIN singles s ON s.h1 = k1
 )
 SELECT id AS $id, src AS $source, CASE
-    WHEN empty THEN false
-    WHEN raw RLIKE :open_tag OR raw RLIKE :open_entity THEN true
-    WHEN has_mark THEN true
-    WHEN NOT open_end THEN coalesce(i3 >= {LEAST_INSIDE} AND e3 / (e3 + i3) <= {LOW_SHARE}, false)
-    WHEN body RLIKE :address OR body RLIKE :keywords OR body RLIKE :bracketed THEN false
+    WHEN verdict IS NOT NULL THEN verdict
+    WHEN stopped THEN coalesce(i3 >= {LEAST_INSIDE} AND e3 / (e3 + i3) <= {LOW_SHARE}, false)
     ELSE share < least END AS is_cut
 FROM judged
 """
 
 BLANK = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace()) + "\ufffd"
 ARGS = {
-    "ws": f"[{WS}]+", "blank": BLANK, "letter": r"[\p{L}\p{N}]", "outer": ".,;:!?()[]{}\"'“”‘’«»", "closing": "\"'”’»)]",
+    "ws": f"[{WS}]+", "nl": "\n", "cr": "\r", "tab": "\t", "nbsp": "\xa0", "blank": BLANK, "letter": r"[\p{L}\p{N}]", "outer": ".,;:!?()[]{}\"'“”‘’«»", "closing": "\"'”’»)]",
     "tag": r"</?[a-zA-Z!][^<>]*>", "entity": r"&(?:amp;)?(?:lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);",
-    "mask": r"(?<!\S)[A-Z]?+[^\s0-9A-Z]*+[0-9A-Z](?:\S*[^\s.!?,;:\"”’)\]])?",
+    "mask": r" [A-Z]?+[^ 0-9A-Z]*+[0-9A-Z](?:[^ ]*[^ .!?,;:\"”’)\]])?",
     "no_text": NO_TEXT, "cut_mark": CUT_MARK, "open_tag": OPEN_TAG, "open_entity": OPEN_ENTITY, "terminated": TERMINATED,
     "address": ADDRESS, "keywords": KEYWORDS, "bracketed": BRACKETED,
 }
 
 
-def cut_records(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
-    """(row_id, source, is_cut) for every row; placeholders, null and blank texts are never cut.
+def cut_records(df: DataFrame, row_id: str, text: str, source: str, judged: DataFrame | None = None) -> DataFrame:
+    """(row_id, source, is_cut) for every row of ``judged`` (by default of ``df``); the counts are always of ``df``. Placeholders, null and blank texts are never cut.
 
     A text is cut if it stops inside a tag or an entity, ends in a mark of truncation, or lacks a full stop and its final trigram is
     frequent inside sentences but almost never at their ends. A final trigram that is rare falls back on its last
@@ -113,13 +119,13 @@ def cut_records(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame
     matter, as every row is judged by itself; an empty table gives an empty table.
     """
 
-    def run(sql: str, **tables: DataFrame) -> DataFrame:
+    def run(sql: str, rows: DataFrame, **tables: DataFrame) -> DataFrame:
         sql = sql.replace("$id", f"`{row_id}`").replace("$text", f"`{text}`").replace("$source", f"`{source}`")
-        used = {k: v for k, v in ARGS.items() if f":{k}" in sql}
-        return df.sparkSession.sql(sql, args=used, df=df.select(row_id, text, source), **tables)
+        used = {k: v for k, v in ARGS.items() if re.search(rf":{k}\b", sql)}
+        return df.sparkSession.sql(sql, args=used, df=rows.select(row_id, text, source), **tables)
 
     # the counts are read three times and much smaller than the texts: written once to the shared folder
-    return run(JUDGE, grams=checkpointed(run(COUNT)))
+    return run(JUDGE, df if judged is None else judged, grams=checkpointed(run(COUNT, df)))
 
 
 def cut_shares(cut: DataFrame, source: str) -> DataFrame:
