@@ -11,6 +11,7 @@ from biblioflux.llm.components import record_groups
 from biblioflux.llm.format_duplicates import canonical_key, copy_groups
 from biblioflux.llm.lookalikes import consistent
 from biblioflux.llm.record_survivors import surviving_fields
+from biblioflux.llm.text_quality import text_forms
 from biblioflux.llm.truncation import cut_records, cut_shares
 from biblioflux.session import table
 
@@ -63,3 +64,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "deduplicated_records").select("cluster_id", "title", "authors")
     return consistent(records, ["title", "authors"]).select("cluster_id", "title", "authors")
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forms = text_forms(docs, "text", table(spark, sf_dir, "common_words"))
+    return forms.filter("form <> 'prose'").select("doc_id", "form")
+
+
+@query
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forms = text_forms(docs, "text", table(spark, sf_dir, "common_words"))
+    return forms.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("junk_reasons", F.array_join("junk_reasons", "; "))
