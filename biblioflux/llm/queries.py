@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from biblioflux.llm.components import record_groups
 from biblioflux.llm.format_duplicates import canonical_key, copy_groups
+from biblioflux.llm.leakage import leaks
 from biblioflux.llm.lookalikes import consistent
 from biblioflux.llm.record_survivors import surviving_fields
 from biblioflux.llm.text_quality import text_forms
@@ -78,3 +79,14 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forms = text_forms(docs, "text", table(spark, sf_dir, "common_words"))
     return forms.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("junk_reasons", F.array_join("junk_reasons", "; "))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+
+
+@query
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
