@@ -11,10 +11,11 @@ from biblioflux.llm.components import record_groups
 from biblioflux.llm.format_duplicates import canonical_key, copy_groups
 from biblioflux.llm.leakage import leaks
 from biblioflux.llm.lookalikes import consistent
+from biblioflux.llm.packing import pack_documents, token_counts
 from biblioflux.llm.record_survivors import surviving_fields
 from biblioflux.llm.text_quality import text_forms
 from biblioflux.llm.truncation import cut_records, cut_shares
-from biblioflux.session import table
+from biblioflux.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +91,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = checkpointed(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pack_documents(counts, "doc_id", "n_tokens", table(spark, sf_dir, "pack_sizes"), "pack_size_id", "capacity_tokens")
+
+
+@query
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packs(spark, sf_dir)
+
+
+@query
+def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packs = _packs(spark, sf_dir).groupBy("pack_size_id", "pack_id").agg(F.sum("n_tokens").alias("n_tokens"))
+    per_size = packs.groupBy("pack_size_id").agg(F.count("*").alias("n_packs"), F.sum("n_tokens").alias("n_tokens"))
+    sizes = table(spark, sf_dir, "pack_sizes").select("pack_size_id", "capacity_tokens")
+    return per_size.join(sizes, "pack_size_id").withColumn("room_share", 1 - F.col("n_tokens") / (F.col("n_packs") * F.col("capacity_tokens")))
