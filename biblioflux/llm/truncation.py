@@ -34,7 +34,7 @@ LOW_SHARE = 0.01
 #: SQL: a text with single blanks between words and one before the first; a pattern is applied only where it can change something.
 SPACED = "concat(' ', replace(replace(replace(replace(TEXT, :nl, ' '), :cr, ' '), :tab, ' '), :nbsp, ' '))"
 #: SQL: words in lower case; those with figures or inner capitals become the class '#', with their closing punctuation kept.
-WORDS = f"split(ltrim(lower(regexp_replace(CASE WHEN contains({SPACED}, '  ') THEN regexp_replace({SPACED}, ' +', ' ') ELSE {SPACED} END, :mask, ' #'))), ' ')"
+WORDS = "split(ltrim(lower(regexp_replace(CASE WHEN contains(TEXT, '  ') THEN regexp_replace(TEXT, ' +', ' ') ELSE TEXT END, :mask, ' #'))), ' ')"
 #: SQL: a word's hash without outer punctuation, its lowest bit telling whether a sentence ends behind it.
 STOPS = "(right(w, 1) IN ('.', '!', '?', '。') OR right(w, 1) IN (')', '\"', '”', '’', '»', ']') AND right(rtrim(:closing, w), 1) IN ('.', '!', '?', '。'))"
 HASHES = f"transform({WORDS}, w -> (xxhash64(trim(BOTH :outer FROM w)) & -2) | CASE WHEN {STOPS} THEN 1 ELSE 0 END)"
@@ -57,7 +57,8 @@ base AS (
 #: full stop counts for neither.
 COUNT = f"""
 WITH {TIDY}, words AS (
-  SELECT t.w FROM heads LATERAL VIEW explode(array({HASHES.replace("TEXT", "head")})) t AS w WHERE NOT empty
+  SELECT t.w FROM (SELECT e.line FROM heads LATERAL VIEW explode(array({SPACED.replace("TEXT", "head")})) e AS line WHERE NOT empty)
+  LATERAL VIEW explode(array({HASHES.replace("TEXT", "line")})) t AS w
 )
 SELECT h3, first(h1 & -2) AS h1, count_if(h1 & 1 = 1) AS ends, count_if(h1 & 1 = 0) AS inside
 FROM (SELECT inline(transform(sequence(3, size(w) - 1 + CAST(try_element_at(w, -1) & 1 AS INT)), i -> named_struct(
@@ -75,7 +76,7 @@ WITH {TIDY}, ends AS (
       WHEN body <> head THEN true
       WHEN right(head, 40) RLIKE :terminated THEN NULL
       WHEN body RLIKE :address OR body RLIKE :keywords OR body RLIKE :bracketed THEN false END AS verdict,
-    right(head, 40) RLIKE :terminated AS stopped, CASE WHEN NOT empty THEN substring_index(head, ' ', -3) END AS tail
+    right(head, 40) RLIKE :terminated AS stopped, CASE WHEN NOT empty THEN {SPACED.replace("TEXT", "substring_index(head, ' ', -3)")} END AS tail
   FROM (SELECT id, src, raw, empty, body, head FROM heads)
 ), hashed AS (
   -- the last three words, however long they are; keys of texts that ask nothing match nothing and don't gather in one task
@@ -104,7 +105,7 @@ BLANK = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace()) + "\ufffd"
 ARGS = {
     "ws": f"[{WS}]+", "nl": "\n", "cr": "\r", "tab": "\t", "nbsp": "\xa0", "blank": BLANK, "letter": r"[\p{L}\p{N}]", "outer": ".,;:!?()[]{}\"'“”‘’«»", "closing": "\"'”’»)]",
     "tag": r"</?[a-zA-Z!][^<>]*>", "entity": r"&(?:amp;)?(?:lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);",
-    "mask": r" [A-Z]?+[^ 0-9A-Z]*+[0-9A-Z](?:[^ ]*[^ .!?,;:\"”’)\]])?",
+    "mask": r" [A-Z]?+[a-z\-,.;:()/']*+[0-9A-Z](?:[^ ]*[^ .!?,;:\"”’)\]])?",
     "no_text": NO_TEXT, "cut_mark": CUT_MARK, "open_tag": OPEN_TAG, "open_entity": OPEN_ENTITY, "terminated": TERMINATED,
     "address": ADDRESS, "keywords": KEYWORDS, "bracketed": BRACKETED,
 }
