@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 # Masks of token positions that count (1) and are ignored (0).
 MASKS = ("11011011", "111001011", "1100110101")
-#: An overlap has this many words that agree, and at most this share of changed words; a long one may have a little more.
-LEAST_WORDS = 15
-CHANGED, LONG_WORDS, LONG_CHANGED = 0.10, 40, 0.12
+#: Windows that count as an overlap: at most this share of changed words, at least this many words. Short windows must agree in full, as
+#: sentences of a common pattern agree in 15 words but for one without being copies.
+LIMITS = ((0.0, 15), (0.10, 20), (0.12, 40))
+LEAST_WORDS = min(n for _, n in LIMITS)
+
 #: Test side up to this size is sent to every task; beyond it both sides are shuffled by hash.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -45,13 +47,10 @@ class Hashes:
         known = self.known
         if len(known) > 2_000_000:
             known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def seeds(h: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -78,14 +77,11 @@ def overlaps(doc: np.ndarray, item: np.ndarray, offset: int) -> bool:
     same = doc[a + offset : b + offset] == item[a:b]
     agreed = np.concatenate([[0], np.cumsum(same)])
     at = np.arange(len(agreed))
-    for share, least in ((CHANGED, LEAST_WORDS), (LONG_CHANGED, LONG_WORDS)):
-        # a window (i, j] fits if agreed[j] - (1 - share) * j >= agreed[i] - (1 - share) * i and enough words agree
+    for share, least in LIMITS:
+        # a window (i, j] fits if agreed[j] - (1 - share) * j >= agreed[i] - (1 - share) * i and it is long enough
         level = agreed - (1 - share) * at
         lowest = np.minimum.accumulate(level)
-        need = agreed - (least if share == CHANGED else int(np.ceil(least * (1 - share))))
-        last = np.searchsorted(agreed, need, side="right") - 1
-        fits = last >= 0
-        if fits.any() and (lowest[last[fits]] <= level[fits] + 1e-9).any():
+        if (lowest[: len(at) - least] <= level[least:] + 1e-9).any():
             return True
     return False
 
@@ -121,19 +117,6 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     return _leaks_by_shuffle(docs, doc_id, text, small, item_id, passage)
 
 
-def _diagonals(found: np.ndarray, at: np.ndarray, index: dict[str, np.ndarray]) -> dict[tuple[int, int], int]:
-    """Number of seeds on each (item, diagonal)."""
-    hits: dict[tuple[int, int], int] = {}
-    for s, p in zip(found, at, strict=True):
-        lo, hi = np.searchsorted(index["seed"], [s, s + 1] if s < np.iinfo(np.int64).max else [s, s], side="left")
-        for k in range(lo, max(hi, lo + 1)):
-            if index["seed"][k] != s:
-                break
-            key = (int(index["item"][k]), int(p - index["at"][k]))
-            hits[key] = hits.get(key, 0) + 1
-    return hits
-
-
 def _leaks_by_broadcast(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
     index = item_seeds(items, item_id, passage).orderBy("seed").toPandas()
     texts: dict[int, list[str]] = {}
@@ -145,27 +128,48 @@ def _leaks_by_broadcast(docs: DataFrame, doc_id: str, text: str, items: DataFram
         table, passages = shared.value
         hashes = Hashes()
         item_words = {i: [hashes.of(words_of(t)) for t in ts] for i, ts in passages.items()}
-        keys = np.unique(table["seed"])
-        for pdf in batches:
+        gap = np.zeros(max(map(len, MASKS)), dtype=np.uint64)
+
+        def flush(ids: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+            """Hits of many documents at once; their words stand in one row, with gaps that no seed of a passage matches."""
+            line = np.concatenate([x for p in parts for x in (p, gap)])
+            starts = np.cumsum([0, *(len(p) + len(gap) for p in parts)])
+            doc_at, item, offset = [], [], []
+            for acc, _ in seeds(line):
+                s = acc.astype(np.int64)
+                lo, hi = np.searchsorted(table["seed"], s, "left"), np.searchsorted(table["seed"], s, "right")
+                n = hi - lo
+                where = np.flatnonzero(n)
+                if len(where):
+                    at = np.repeat(where, n[where])
+                    k = np.repeat(lo[where], n[where]) + np.arange(len(at)) - np.repeat(np.cumsum(n[where]) - n[where], n[where])
+                    own = np.searchsorted(starts, at, "right") - 1
+                    doc_at.append(own)
+                    item.append(table["item"][k])
+                    offset.append(at - starts[own] - table["at"][k])
             rows = []
-            for i, t in zip(pdf[doc_id], pdf[text], strict=True):
-                h = hashes.of(words_of(t)) if t else np.empty(0, dtype=np.uint64)
-                found, at = [], []
-                for acc, _ in seeds(h):
-                    s = acc.astype(np.int64)
-                    k = np.searchsorted(keys, s)
-                    k[k == len(keys)] = 0
-                    hit = np.flatnonzero(keys[k] == s) if len(keys) else np.empty(0, dtype=np.int64)
-                    found.append(s[hit])
-                    at.append(hit)
-                if not found or sum(map(len, found)) < 2:
-                    continue
+            if doc_at:
+                hits = pd.DataFrame({"doc": np.concatenate(doc_at), "item": np.concatenate(item), "offset": np.concatenate(offset)})
+                hits = hits.groupby(["doc", "item", "offset"], sort=False).size()
                 done = set()
-                for (item, offset), n in _diagonals(np.concatenate(found), np.concatenate(at), table).items():
-                    if n >= 2 and item not in done and any(overlaps(h, w, offset) for w in item_words[item]):
-                        done.add(item)
-                        rows.append((i, item))
-            yield pd.DataFrame(rows, columns=["d", "i"]).astype("int64")
+                for d, i, o in hits.index[hits.to_numpy() >= 2]:
+                    if (d, i) not in done and any(overlaps(parts[d], w, o) for w in item_words[i]):
+                        done.add((d, i))
+                        rows.append((ids[d], i))
+            return pd.DataFrame(rows, columns=["d", "i"]).astype("int64")
+
+        for pdf in batches:
+            ids, parts, n = [], [], 0
+            for i, t in zip(pdf[doc_id], pdf[text], strict=True):
+                if t:
+                    ids.append(i)
+                    parts.append(hashes.of(words_of(t)))
+                    n += len(parts[-1])
+                if n > 1_000_000:
+                    yield flush(ids, parts)
+                    ids, parts, n = [], [], 0
+            if parts:
+                yield flush(ids, parts)
 
     found = docs.select(doc_id, text).mapInPandas(search, "d long, i long")
     return found.select(F.col("d").alias(doc_id), F.col("i").alias(item_id)).distinct()
