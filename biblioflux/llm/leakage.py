@@ -78,6 +78,8 @@ def overlaps(doc: np.ndarray, item: np.ndarray, offset: int) -> bool:
     agreed = np.concatenate([[0], np.cumsum(same)])
     at = np.arange(len(agreed))
     for share, least in LIMITS:
+        if len(at) <= least:
+            break
         # a window (i, j] fits if agreed[j] - (1 - share) * j >= agreed[i] - (1 - share) * i and it is long enough
         level = agreed - (1 - share) * at
         lowest = np.minimum.accumulate(level)
