@@ -15,6 +15,7 @@ from biblioflux.operators.positions import with_positions
 from biblioflux.operators.title_match import similar_titles
 from biblioflux.plans.boolean import search
 from biblioflux.session import checkpointed, table
+from biblioflux.streaming.arrivals import counts_by_window, first_arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -399,3 +400,18 @@ def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select source_api, count(*) as n, sum(abstract_len)::bigint as n_chars from enrichment_details group by 1")
 def enrichment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "enrichment_details").groupBy("source_api").agg(F.count("*").alias("n"), F.sum("abstract_len").cast("long").alias("n_chars"))
+
+
+# ---- streams as bounded tables -----------------------------------------------------------------------------------------------
+
+
+@query("select date_trunc('day', fetched_at) as window_start, source_db, count(*) as n from unified_records where fetched_at is not null group by 1, 2")
+def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = counts_by_window(table(spark, sf_dir, "unified_records"), "fetched_at", "source_db")
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("select distinct record_id, source_db, title_original from unified_records where record_id is not null")
+def first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "unified_records").select("record_id", "fetched_at", "source_db", "title_original")
+    return first_arrivals(records, "record_id", "fetched_at").select("record_id", "source_db", "title_original")
