@@ -69,23 +69,36 @@ def seeds(h: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def overlap_many(line: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np.ndarray, first: np.ndarray, last: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """For each candidate, whether its texts agree along one diagonal in a window by LIMITS.
+
+    Document k is line[begin[k]:end[k]], its passage items[first[k]:last[k]], and word i of the passage stands beside word
+    i + offset[k] of the document. Candidates are handled together, as many as fit a bounded matrix.
+    """
+    out = np.zeros(len(begin), dtype=bool)
+    width = int((last - first).max(initial=0))
+    step = max(1, 4_000_000 // max(1, width))
+    for s in range(0, len(begin), step):
+        b, e, f, z, o = (x[s : s + step, None] for x in (begin, end, first, last, offset))
+        i = np.arange(width)[None, :]
+        at = b + o + i
+        valid = (f + i < z) & (at >= b) & (at < e)
+        same = valid & (line[np.where(valid, at, 0)] == items[np.where(valid, f + i, 0)])
+        # a window (i, j] fits if its agreed words less (1 - share) of its length aren't below 0; positions outside never agree
+        agreed = np.concatenate([np.zeros((len(same), 1)), np.cumsum(same, axis=1)], axis=1)
+        for share, least in LIMITS:
+            if width < least:
+                break
+            level = agreed - (1 - share) * np.arange(width + 1)[None, :]
+            lowest = np.minimum.accumulate(level, axis=1)
+            out[s : s + step] |= (lowest[:, : width + 1 - least] <= level[:, least:] + 1e-9).any(axis=1)
+    return out
+
+
 def overlaps(doc: np.ndarray, item: np.ndarray, offset: int) -> bool:
-    """Whether the texts agree along one diagonal (document position less item position) in some window by the limits above."""
-    a, b = max(0, -offset), min(len(item), len(doc) - offset)
-    if b - a < LEAST_WORDS:
-        return False
-    same = doc[a + offset : b + offset] == item[a:b]
-    agreed = np.concatenate([[0], np.cumsum(same)])
-    at = np.arange(len(agreed))
-    for share, least in LIMITS:
-        if len(at) <= least:
-            break
-        # a window (i, j] fits if agreed[j] - (1 - share) * j >= agreed[i] - (1 - share) * i and it is long enough
-        level = agreed - (1 - share) * at
-        lowest = np.minimum.accumulate(level)
-        if (lowest[: len(at) - least] <= level[least:] + 1e-9).any():
-            return True
-    return False
+    """Whether one document and one passage agree along one diagonal (document position less passage position)."""
+    one = [np.array([x]) for x in (0, len(doc), 0, len(item), offset)]
+    return bool(len(doc) and len(item) and overlap_many(doc, one[0], one[1], item, one[2], one[3], one[4])[0])
 
 
 def item_seeds(items: DataFrame, item_id: str, passage: str) -> DataFrame:
@@ -120,58 +133,56 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
 
 def _leaks_by_broadcast(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
-    index = item_seeds(items, item_id, passage).orderBy("seed").toPandas()
-    texts: dict[int, list[str]] = {}
-    for r in items.collect():
-        texts.setdefault(r[item_id], []).append(r[passage])
-    shared = docs.sparkSession.sparkContext.broadcast(({c: index[c].to_numpy() for c in ("seed", "item", "at")}, texts))
+    hashes = Hashes()
+    texts = [(r[item_id], hashes.of(words_of(r[passage]))) for r in items.collect()]
+    found = [(acc.astype(np.int64), np.full(len(acc), k), np.arange(len(acc))) for k, (_, w) in enumerate(texts) for acc, _ in seeds(w)]
+    seed, item, at = (np.concatenate([f[c] for f in found]) if found else np.empty(0, dtype=np.int64) for c in range(3))
+    order = np.argsort(seed, kind="stable")
+    ends = np.cumsum([0, *(len(w) for _, w in texts)])
+    words = np.concatenate([w for _, w in texts]) if texts else np.empty(0, dtype=np.uint64)
+    ids = np.array([i for i, _ in texts], dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((seed[order], item[order], at[order], ids, words, ends))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, passages = shared.value
+        seed, item, at, ids, words, ends = shared.value
         hashes = Hashes()
-        item_words = {i: [hashes.of(words_of(t)) for t in ts] for i, ts in passages.items()}
         gap = np.zeros(max(map(len, MASKS)), dtype=np.uint64)
 
-        def flush(ids: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+        def flush(docs: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
             """Hits of many documents at once; their words stand in one row, with gaps that no seed of a passage matches."""
             line = np.concatenate([x for p in parts for x in (p, gap)])
             starts = np.cumsum([0, *(len(p) + len(gap) for p in parts)])
-            doc_at, item, offset = [], [], []
+            hits = []
             for acc, _ in seeds(line):
                 s = acc.astype(np.int64)
-                lo, hi = np.searchsorted(table["seed"], s, "left"), np.searchsorted(table["seed"], s, "right")
-                n = hi - lo
-                where = np.flatnonzero(n)
-                if len(where):
-                    at = np.repeat(where, n[where])
-                    k = np.repeat(lo[where], n[where]) + np.arange(len(at)) - np.repeat(np.cumsum(n[where]) - n[where], n[where])
-                    own = np.searchsorted(starts, at, "right") - 1
-                    doc_at.append(own)
-                    item.append(table["item"][k])
-                    offset.append(at - starts[own] - table["at"][k])
-            rows = []
-            if doc_at:
-                hits = pd.DataFrame({"doc": np.concatenate(doc_at), "item": np.concatenate(item), "offset": np.concatenate(offset)})
-                hits = hits.groupby(["doc", "item", "offset"], sort=False).size()
-                done = set()
-                for d, i, o in hits.index[hits.to_numpy() >= 2]:
-                    if (d, i) not in done and any(overlaps(parts[d], w, o) for w in item_words[i]):
-                        done.add((d, i))
-                        rows.append((ids[d], i))
-            return pd.DataFrame(rows, columns=["d", "i"]).astype("int64")
+                lo = np.searchsorted(seed, s, "left")
+                where = np.flatnonzero((lo < len(seed)) & (seed[np.minimum(lo, len(seed) - 1)] == s)) if len(seed) else lo[:0]
+                n = np.searchsorted(seed, s[where], "right") - lo[where]
+                pos = np.repeat(where, n)
+                k = np.repeat(lo[where], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
+                own = np.searchsorted(starts, pos, "right") - 1
+                hits.append(pd.DataFrame({"doc": own, "item": item[k], "offset": pos - starts[own] - at[k]}))
+            n = pd.concat(hits).groupby(["doc", "item", "offset"], sort=False).size() if hits else pd.Series(dtype=int)
+            n = n[n >= 2]
+            if n.empty:
+                return pd.DataFrame({"d": [], "i": []}).astype("int64")
+            d, i, o = (n.index.get_level_values(c).to_numpy(dtype=np.int64) for c in range(3))
+            sizes = np.array([len(p) for p in parts])
+            good = overlap_many(line, starts[d], starts[d] + sizes[d], words, ends[i], ends[i + 1], o)
+            return pd.DataFrame({"d": np.array(docs, dtype=np.int64)[d[good]], "i": ids[i[good]]}).drop_duplicates()
 
         for pdf in batches:
-            ids, parts, n = [], [], 0
+            own, parts, n = [], [], 0
             for i, t in zip(pdf[doc_id], pdf[text], strict=True):
                 if t:
-                    ids.append(i)
+                    own.append(i)
                     parts.append(hashes.of(words_of(t)))
                     n += len(parts[-1])
-                if n > 1_000_000:
-                    yield flush(ids, parts)
-                    ids, parts, n = [], [], 0
+                if n > 500_000:
+                    yield flush(own, parts)
+                    own, parts, n = [], [], 0
             if parts:
-                yield flush(ids, parts)
+                yield flush(own, parts)
 
     found = docs.select(doc_id, text).mapInPandas(search, "d long, i long")
     return found.select(F.col("d").alias(doc_id), F.col("i").alias(item_id)).distinct()
