@@ -27,7 +27,7 @@ INVISIBLE = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(c
 SPACES = [chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs" and c != 0x20]
 WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)]
 #: What a text must hold for a rewrite to be possible, as a Java pattern.
-SUSPECT = r"[\p{Mn}\p{Cf}\x{034f}\x{ff01}-\x{ff5e}\p{IsCyrillic}\p{IsGreek}]|[\p{Zs}&&[^ ]]"
+SUSPECT = r"[\p{Mn}\p{IsCyrillic}\p{IsGreek}" + "".join(f"\\x{{{ord(ch):x}}}" for ch in INVISIBLE + SPACES) + r"\x{ff01}-\x{ff5e}]"
 _SEGMENT = re.compile(r"[;|\t\r\n,/•·]+")
 _WORD = re.compile(r"[^\W\d_]+")
 

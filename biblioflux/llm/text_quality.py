@@ -107,7 +107,7 @@ def text_stats(text: str, common: frozenset[str]) -> tuple:
             kind = "list" if sum(x in ("short", "list", "bullet") for x in near) >= 2 else "prose"
         sizes[kind] = sizes.get(kind, 0) + len(s)
     if cell_tags >= 6:
-        inside = sum(len(_TAG.sub("", m)) for m in re.findall(r"<table.*?</table>|<tr.*?</tr>", text, flags=re.S | re.I))
+        inside = sum(len(_TAG.sub(" ", m)) for m in re.findall(r"<table.*?</table>|<tr.*?</tr>", text, flags=re.S | re.I))
         moved = min(inside, sum(sizes.values()))
         sizes = {"prose": max(0, sum(map(len, lines)) - moved), "table": moved}
     total = max(1, sum(sizes.values()))
@@ -148,8 +148,8 @@ JUNK = {
     "machine output": "machine_share > 0.25",
     "repeated entries": "repeat_share > 0.5 AND common_share < 0.15 AND n_chars > 60",
     "a menu": "n_lines <= 2 AND menu_share >= 0.8 AND repeat_share >= 0.25 AND common_share < 0.15 AND digit_ratio < 0.1",
-    "symbols": "symbol_ratio > 0.45",
-    "repeats itself": "packed_ratio < 0.1 AND n_chars > 100 AND common_share < 0.15",
+    "symbols": "symbol_ratio > 0.45 AND (table_share < 0.5 OR n_words * 20 < n_chars)",
+    "repeats itself": "(packed_ratio < 0.1 OR packed_ratio * n_chars < 26) AND n_chars > 100 AND common_share < 0.15",
     "a single row": "n_lines = 1 AND table_share = 1 AND digit_ratio < 0.1 AND common_share < 0.1",
     "repeated tokens": "distinct_share < 0.15 AND common_share < 0.15",
     "no vowels": "vowel_ratio < 0.1 AND list_share < 0.5 OR vowel_ratio < 0.2 AND list_share < 0.5 AND table_share < 0.5",
