@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from biblioflux.operators.skew import join_aggregate
+from biblioflux.session import checkpointed
+
 CANDIDATES = ["list", "whole", "semicolon", "bar", "line", "tab", "bullet", "slash", "and", "comma", "comma_pairs", "mixed"]
 STRONG = {
     "semicolon": re.compile(r";"), "bar": re.compile(r"\|+"), "line": re.compile(r"[\r\n]+"), "tab": re.compile(r"\t"),
@@ -216,14 +219,16 @@ def split_field(s: str | None, profile: dict[str, float] | None = None) -> list[
 
 
 def source_profiles(df: DataFrame, field: str, source: Column) -> DataFrame:
-    """(source, profile: map candidate -> 0..1) over all rows: mean score times the evenness of the piece counts, relative to the
+    """(src, n_rows, profile: map candidate -> 0..1) over all rows: mean score times the evenness of the piece counts, relative to the
     rows of the source. Batches are summed before the shuffle, so it moves sources x candidates x batches small rows."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums: dict[tuple[str, str], list[float]] = {}
             for src, s in zip(pdf["src"], pdf["val"], strict=True):
-                if s is None or not s.strip():
+                # rows are counted under a name that no candidate has
+                sums.setdefault((src, ""), [0, 0.0, 1.0, 0.0])[0] += 1
+                if not s.strip():
                     continue
                 for name, (points, pieces) in scores_of(s).items():
                     if len(pieces) > 1:
@@ -233,13 +238,15 @@ def source_profiles(df: DataFrame, field: str, source: Column) -> DataFrame:
             if sums:
                 yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["src", "cand", "n", "points", "pieces", "squares"]).astype({"n": "int64"})
 
-    rows = df.select(F.coalesce(source, F.lit("")).alias("src"), F.col(field).alias("val"))
+    rows = df.select(F.coalesce(source, F.lit("")).alias("src"), F.col(field).alias("val")).filter(F.length("val") > 0)
     sums = rows.mapInPandas(partial, "src string, cand string, n long, points double, pieces double, squares double")
     total = sums.groupBy("src", "cand").agg(*[F.sum(c).alias(c) for c in ("n", "points", "pieces", "squares")])
     mean = F.col("pieces") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))) / mean
     scored = total.withColumn("w", F.col("points") / (F.lit(1.0) + spread))
-    return scored.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("cand", (F.col("w") / F.col("n")).alias("w")))).alias("profile"))
+    named = F.when(F.col("cand") != "", F.struct("cand", (F.col("w") / F.col("n")).alias("w")))
+    n_rows = F.max(F.when(F.col("cand") == "", F.col("n"))).alias("n_rows")
+    return scored.groupBy("src").agg(n_rows, F.map_from_entries(F.collect_list(named)).alias("profile"))
 
 
 def split_packed(df: DataFrame, field: str, source: Column, value: str = "value", pos: str = "pos") -> DataFrame:
@@ -254,10 +261,9 @@ def split_packed(df: DataFrame, field: str, source: Column, value: str = "value"
 
     # as nondeterministic it is evaluated once, and not again for the filter that an explode brings along
     pieces = F.pandas_udf(pieces, ArrayType(StringType())).asNondeterministic()
-    profiles = source_profiles(df, field, source).withColumnRenamed("src", "__src").withColumnRenamed("profile", "__profile")
+    profiles = source_profiles(df, field, source).select(F.col("src").alias("__src"), F.col("n_rows").alias("__n"), F.col("profile").alias("__profile"))
     keep = [c for c in df.columns if c not in (field, value, pos)]
-    rows = df.select(*keep, F.col(field).alias("__val"), F.coalesce(source, F.lit("")).alias("__src"))
-    # profiles has one row per source; Spark broadcasts it only below its own size threshold and else shuffles
-    joined = rows.filter(F.length("__val") > 0).join(profiles, "__src", "left")
+    rows = df.select(*keep, F.col(field).alias("__val"), F.coalesce(source, F.lit("")).alias("__src")).filter(F.length("__val") > 0)
+    joined = join_aggregate(rows, checkpointed(profiles), ["__src"], "__n")
     split = joined.select(*keep, pieces("__val", "__profile").alias("__pieces"))
     return split.select(*keep, F.posexplode("__pieces").alias(pos, value)).withColumn(pos, (F.col(pos) + 1).cast("long"))
