@@ -110,7 +110,7 @@ def pack_documents(sizes: DataFrame, doc_id: str, n_tokens: str, capacities: Dat
 
     Piece numbers count from 1; all pieces but the last fill a pack alone, and the last is packed like a document of its length.
     Documents without tokens, with a null id or size, and capacities below 1 give no rows; a repeated doc_id is packed once for
-    each of its rows. Items are spread by hash over shards of about ``shard`` items, each packed in one task; the items of packs
+    each of its rows. Items are spread by a hash of their row over shards of about ``shard`` items, each packed in one task; the items of packs
     that stay below FULL meet again in fewer shards, until one shard is left or nothing can be gained.
     """
     rows = sizes.select(F.col(doc_id).alias("d"), F.col(n_tokens).alias("n")).filter("d is not null and n > 0")
@@ -132,7 +132,7 @@ def pack_documents(sizes: DataFrame, doc_id: str, n_tokens: str, capacities: Dat
         shards = max(1, -(-total // shard))
         last = shards == 1 or round_ == 3
 
-        packed = items.withColumn("cap", F.col("cap").cast("long")).withColumn("shard", F.pmod(F.xxhash64("c", "d", "piece"), F.lit(shards)))
+        packed = items.withColumn("cap", F.col("cap").cast("long")).withColumn("shard", F.pmod(F.xxhash64("c", "d", "piece", F.monotonically_increasing_id()), F.lit(shards)))
         packed = checkpointed(packed.groupBy("c", "shard").applyInPandas(_packer(round_, last), shape))
         done.append(packed.filter("final").select("c", "pack_id", "d", "piece", "n"))
         if last:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblioflux.functions.text import WS
+from biblioflux.operators.skew import join_aggregate
 from biblioflux.session import checkpointed
 
 # Fields that only say that there is no text.
@@ -76,28 +77,30 @@ WITH {TIDY}, ends AS (
       WHEN body <> head THEN true
       WHEN right(head, 40) RLIKE :terminated THEN NULL
       WHEN body RLIKE :address OR body RLIKE :keywords OR body RLIKE :bracketed THEN false END AS verdict,
-    right(head, 40) RLIKE :terminated AS stopped, CASE WHEN NOT empty THEN {SPACED.replace("TEXT", "substring_index(head, ' ', -3)")} END AS tail
-  FROM (SELECT id, src, raw, empty, body, head FROM heads)
-), hashed AS (
-  -- the last three words, however long they are; keys of texts that ask nothing match nothing and don't gather in one task
-  SELECT id, src, verdict, stopped, h[size(h) - 1] & -2 = xxhash64('#') & -2 AS classed, coalesce(try_element_at(h, -1) & -2, xxhash64(id, src)) AS k1,
-         CASE WHEN verdict IS NULL AND size(h) > 2 THEN xxhash64(h[size(h) - 3], h[size(h) - 2], h[size(h) - 1] & -2) ELSE xxhash64(src, id) END AS k3
-  FROM ends LATERAL VIEW explode(array({HASHES.replace("TEXT", "tail")})) t AS h
+    coalesce(right(head, 40) RLIKE :terminated, false) AS stopped, CASE WHEN NOT empty THEN {SPACED.replace("TEXT", "substring_index(head, ' ', -3)")} END AS tail
+  FROM heads
+)
+-- the last three words, however long they are
+SELECT id, src, verdict, stopped, coalesce(h[size(h) - 1] & -2 = xxhash64('#') & -2, false) AS classed, coalesce(try_element_at(h, -1) & -2, 0) AS k1,
+       CASE WHEN size(h) > 2 THEN xxhash64(h[size(h) - 3], h[size(h) - 2], h[size(h) - 1] & -2) ELSE 0 END AS k3
+FROM ends LATERAL VIEW explode(array({HASHES.replace("TEXT", "tail")})) t AS h
+"""
+
+#: The verdict of every distinct ending, with the number of texts that ask for it.
+ENDINGS = f"""
+WITH asks AS (
+  SELECT stopped, classed, k1, k3, count(*) AS n FROM {{asked}} WHERE verdict IS NULL GROUP BY stopped, classed, k1, k3
 ), singles AS (
   SELECT h1, sum(ends) AS ends, sum(inside) AS inside FROM {{grams}} GROUP BY h1
 ), judged AS (
-  SELECT k.*, g.ends AS e3, g.inside AS i3,
+  SELECT a.*, g.ends AS e3, g.inside AS i3,
          CASE WHEN g.ends + g.inside >= 3 THEN g.ends / (g.ends + g.inside)
               WHEN s.ends + s.inside >= 3 THEN s.ends / (s.ends + s.inside) ELSE 0 END AS share,
          CASE WHEN g.ends + g.inside >= 3 AND NOT classed THEN {LEAST_END_SHARE} ELSE {LEAST_SHORT_SHARE} END AS least
-  FROM hashed k
-  LEFT JOIN {{grams}} g ON g.h3 = k3
-  LEFT JOIN singles s ON s.h1 = k1
+  FROM asks a LEFT JOIN {{grams}} g ON g.h3 = k3 LEFT JOIN singles s ON s.h1 = k1
 )
-SELECT id AS $id, src AS $source, CASE
-    WHEN verdict IS NOT NULL THEN verdict
-    WHEN stopped THEN coalesce(i3 >= {LEAST_INSIDE} AND e3 / (e3 + i3) <= {LOW_SHARE}, false)
-    ELSE share < least END AS is_cut
+SELECT stopped, classed, k1, k3, n,
+       CASE WHEN stopped THEN coalesce(i3 >= {LEAST_INSIDE} AND e3 / (e3 + i3) <= {LOW_SHARE}, false) ELSE share < least END AS is_cut
 FROM judged
 """
 
@@ -120,13 +123,18 @@ def cut_records(df: DataFrame, row_id: str, text: str, source: str, judged: Data
     matter, as every row is judged by itself; an empty table gives an empty table.
     """
 
-    def run(sql: str, rows: DataFrame, **tables: DataFrame) -> DataFrame:
+    def run(sql: str, rows: DataFrame) -> DataFrame:
         sql = sql.replace("$id", f"`{row_id}`").replace("$text", f"`{text}`").replace("$source", f"`{source}`")
         used = {k: v for k, v in ARGS.items() if re.search(rf":{k}\b", sql)}
-        return df.sparkSession.sql(sql, args=used, df=rows.select(row_id, text, source), **tables)
-
-    # the counts are read three times and much smaller than the texts: written once to the shared folder
-    return run(JUDGE, df if judged is None else judged, grams=checkpointed(run(COUNT, df)))
+        return df.sparkSession.sql(sql, args=used, df=rows.select(row_id, text, source))
+
+    # what is kept is small beside the texts: a count per trigram, and a few numbers per row
+    grams = checkpointed(run(COUNT, df))
+    asked = checkpointed(run(JUDGE, df if judged is None else judged))
+    endings = checkpointed(df.sparkSession.sql(ENDINGS, asked=asked, grams=grams))
+    open_rows = join_aggregate(asked.filter("verdict IS NULL"), endings, ["stopped", "classed", "k1", "k3"], "n").select("id", "src", "is_cut")
+    out = open_rows.unionByName(asked.filter("verdict IS NOT NULL").select("id", "src", F.col("verdict").alias("is_cut")))
+    return out.select(F.col("id").alias(row_id), F.col("src").alias(source), "is_cut")
 
 
 def cut_shares(cut: DataFrame, source: str) -> DataFrame:
