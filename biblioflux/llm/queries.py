@@ -13,12 +13,13 @@ from biblioflux.llm.leakage import leaks
 from biblioflux.llm.lookalikes import consistent
 from biblioflux.llm.packing import pack_documents, token_counts
 from biblioflux.llm.record_survivors import surviving_fields
+from biblioflux.llm.sql import P2_FOUND, P6_FOUND
 from biblioflux.llm.text_quality import text_forms
 from biblioflux.llm.truncation import cut_records, cut_shares
 from biblioflux.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": P2_FOUND, "p6_found": P6_FOUND}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -14,13 +14,14 @@ from biblioflux.session import checkpointed
 # Fields that only say that there is no text.
 NO_TEXT = r"(?is)^\W*(?:no\s+)?(?:abstract|summary|n/?a|null|none|nan|nil|unknown|missing|tbd|undefined|not\s+available|unavailable)?\s*(?:is\s+|was\s+)?(?:not\s+)?(?:available|provided|supplied|given|found|present)?\W*$"
 # Marks that are put after a cut.
-CUT_MARK = r"(?is)(?:…|\.{3,}|\[\s*(?:…|\.{2,}|truncated|more|continued|cont\.?)\s*\]|\(\s*(?:…|\.{2,}|truncated|more|continued|cont\.?|read more)\s*\)|\b(?:read|see|show) more\s*[.>»→]*|\[truncated\]|<truncated>|\s(?:-->|>>|»|→)|\s)+$"
+_WORD_OF_CUT = r"(?:…|\.{2,}|(?:text|abstract)?\s*(?:truncated|shortened|cut|omitted)(?: off)?|(?:read )?more|continued|cont\.?)"
+CUT_MARK = rf"(?is)(?:…|\.{{3,}}|\[\s*{_WORD_OF_CUT}\s*\]|\(\s*{_WORD_OF_CUT}\s*\)|\b(?:read|see|show) more\s*[.>»→]*|(?<=\w)--|\s(?:-->|>>|»|→)|\s)+$"
 TERMINATED = r"""[.!?。！？][\s"'”’»)\]]*$"""
 #: Endings that are whole without a full stop: an address, a keyword list, a closed bracketed remark.
 ADDRESS = r"(?is)(?:https?://|www\.|doi:\s?)\S+\s*$"
 KEYWORDS = r"(?is)(?:^|[.!?\s])(?:key\s?words?|index terms?|subject terms?|mesh terms?|schl[üu]sselw[öo]rter|mots[- ]cl[ée]s|palabras clave)\s*[:—–-][^.!?]*$"
 BRACKETED = r"(?s)[.!?]\s*[(\[][^()\[\]]*[)\]]\s*$"
-OPEN_TAG = r"(?s)(?:<|&lt;?|&amp;lt;?)/?(?:[a-zA-Z!][^<>]{0,80})?$"
+OPEN_TAG = r"(?is)<(?:cut|truncated|more|snip)/?>\s*$|(?:<|&lt;?|&amp;lt;?)/?(?:[a-zA-Z!][^<>]{0,80})?$"
 OPEN_ENTITY = r"(?:&amp|&)(?:#[xX]?[0-9a-fA-F]{0,6}|[a-zA-Z]{0,8}|;#?[a-zA-Z0-9]{0,8})$"
 
 #: An ending counts as a sentence end if at least this share of its trigram's occurrences is at one. It may be low: a cut seldom falls
