@@ -67,3 +67,30 @@ def word_overlap(a: Column, b: Column) -> Column:
     wa, wb = words_of(a), words_of(b)
     most = F.greatest(F.size(wa), F.size(wb))
     return F.when(most > 0, F.size(F.array_intersect(wa, wb)) / most).otherwise(F.lit(0.0))
+
+
+def pubmed_text_abstract(c: Column, least: int = 10) -> Column:
+    """The abstract in a plain-text citation: the first paragraph after the first blank line behind the third line, its lines joined by
+    blanks; null if it isn't longer than ``least``. Carriage returns count as white space."""
+    lines = F.transform(F.split(py_strip(c), "\n"), lambda x, i: F.struct(py_strip(x).alias("text"), i.alias("at")))
+    nothing = F.array().cast("array<string>")
+
+    def state(on: Column, off: Column, out: Column) -> Column:
+        return F.struct(on.alias("on"), off.alias("off"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        blank = x["text"] == ""
+        return (
+            F.when(s["off"] | (~s["on"] & ~(blank & (x["at"] > 2))), s)
+            .when(~s["on"], state(F.lit(True), F.lit(False), s["out"]))
+            .when(blank, state(F.lit(True), F.size(s["out"]) > 0, s["out"]))
+            .otherwise(state(F.lit(True), F.lit(False), F.concat(s["out"], F.array(x["text"]))))
+        )
+
+    text = F.aggregate(lines, state(F.lit(False), F.lit(False), nothing), step, lambda s: F.array_join(s["out"], " "))
+    return F.when(F.length(text) > least, text)
+
+
+def url_quote(c: Column) -> Column:
+    """Percent-encoding with nothing left out but letters, digits and '-_.~' (the built-in writes a blank as '+' and keeps '*')."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioflux.functions.text import py_strip
@@ -58,3 +58,15 @@ def last_wins_first_place(df: DataFrame, key: str, order: list[str], place: str)
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key doesn't occur in ``seen``; rows without a key are dropped."""
     return df.filter(F.col(key).isNotNull()).join(seen.select(key).distinct(), key, "left_anti")
+
+
+def first_k(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
+    """The first k rows of every key. Spark keeps k rows per key in each task before the shuffle, so a hot key moves few rows."""
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.filter(F.col("__rank") <= k).drop("__rank")
+
+
+def first_missing(df: DataFrame, abstract: str, order: str, n: int = 0) -> DataFrame:
+    """The first n rows without an abstract by position; all of them for n = 0."""
+    missing = df.filter(~has_abstract(F.col(abstract)))
+    return missing.orderBy(order).limit(n) if n else missing

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioflux.functions.identifiers import is_preprint_doi
-from biblioflux.functions.text import first_non_empty, normalize_arxiv_id, normalize_doi, normalize_title
+from biblioflux.functions.text import first_non_empty, normalize_arxiv_id, normalize_doi, normalize_title, pubmed_text_abstract
 from biblioflux.operators import enrichment, filters, linkage, stats, survivorship
 from biblioflux.operators.packed_fields import split_packed
 from biblioflux.operators.positions import with_positions
@@ -415,3 +415,24 @@ def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "unified_records").select("record_id", "fetched_at", "source_db", "title_original")
     return first_arrivals(records, "record_id", "fetched_at").select("record_id", "source_db", "title_original")
+
+
+@query(rf"""with l as (select doc_id, unnest(list_transform(string_split({_strip("text")}, chr(10)), lambda x: {_strip("x")})) as line, unnest(range(len(string_split({_strip("text")}, chr(10))))) as i from documents where text is not null),
+a as (select doc_id, min(i) as a from l where line = '' and i > 2 group by 1), b as (select l.doc_id, min(i) as b from l join a using (doc_id) where i > a and line <> '' group by 1),
+c as (select b.doc_id, b, coalesce(min(i) filter (line = '' and i > b), 1000000000) as c from l join b using (doc_id) group by 1, 2)
+select l.doc_id, string_agg(line, ' ' order by i) as abstract from l join c on l.doc_id = c.doc_id and i >= b and i < c group by 1 having length(string_agg(line, ' ' order by i)) > 10""")
+def text_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", pubmed_text_abstract(F.col("text")).alias("abstract"))
+    return docs.filter("abstract is not null")
+
+
+@query("select source_db, record_id, year from (select *, row_number() over (partition by source_db order by year desc, record_id, fetched_at) as k from (select distinct source_db, record_id, year, fetched_at from unified_records)) where k <= 3")
+def newest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "unified_records").select("source_db", "record_id", "year", "fetched_at").distinct()
+    return filters.first_k(records, "source_db", [F.desc("year"), "record_id", "fetched_at"], 3).drop("fetched_at")
+
+
+@query("select cluster_id, left(title, 100) as title from deduplicated_records where not coalesce(length(" + _strip("abstract") + ") > 10, false) order by cluster_id limit 25")
+def first_missing_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing = filters.first_missing(table(spark, sf_dir, "deduplicated_records"), "abstract", "cluster_id", 25)
+    return missing.select("cluster_id", F.left("title", F.lit(100)).alias("title"))

@@ -81,3 +81,8 @@ def load_exports(spark: SparkSession, folder: str, date: str | None = None) -> D
     if not files:
         raise FileNotFoundError(f"no exports in {folder}")
     return reduce(DataFrame.unionByName, [unify(read_export(spark, p), db) for db, p in files.items()])
+
+
+def larger(live: DataFrame, cached: DataFrame) -> DataFrame:
+    """The cached export where the live one has fewer records, else the live one; both are counted."""
+    return cached if live.count() < cached.count() else live

@@ -58,3 +58,10 @@ def test_similar_titles_lose_no_link(spark):
     want = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) / max(len(sets[a]), len(sets[b])) > 0.8}
     got = similar_titles(df, df, "id", "title").collect()
     assert {(r["query_id"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_first_rows_and_missing(rows):
+    df = rows([("a", 3, None), ("a", 1, "a long abstract"), ("a", 2, ""), ("b", 5, "short")], "k string, o int, abstract string")
+    assert sorted((r["k"], r["o"]) for r in filters.first_k(df, "k", ["o"], 2).collect()) == [("a", 1), ("a", 2), ("b", 5)]
+    assert [r["o"] for r in filters.first_missing(df, "abstract", "o", 2).collect()] == [2, 3]
+    assert filters.first_missing(df, "abstract", "o").count() == 3

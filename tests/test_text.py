@@ -55,3 +55,13 @@ def test_canonical_identifiers(rows, make, cases):
 
 def test_preprints(rows):
     assert column(rows, ["10.1101/x", "10.48550/arxiv.x", "10.21203/rs.1", None], is_preprint_doi) == [True, True, False, False]
+
+
+def test_plain_text_citation(rows):
+    cite = "1. J. 2020.\n\nTitle\n\nAuthors A.\n\nThe abstract\n  goes on.\n\nPMID: 1"
+    late = "a\nb\nc\n\n\n\r\nOnly this paragraph\ncounts here\n\nnot this"
+    assert column(rows, [cite, late, "short", "", None, "a\nb\nc\n\nten chars."], text.pubmed_text_abstract) == [None, "Only this paragraph counts here", None, None, None, None]
+
+
+def test_quoting(rows):
+    assert column(rows, ["10.1/a b*~é"], text.url_quote) == ["10.1%2Fa%20b%2A~%C3%A9"]
