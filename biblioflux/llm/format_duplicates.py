@@ -71,7 +71,7 @@ def repeat_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a task holds one byte per bit pair at most; beyond FLUSH rows it emits and starts again
+        # a task counts half a million rows at a time, which bounds its memory
         held: list[np.ndarray] = []
         count = 0
 
@@ -91,7 +91,7 @@ def repeat_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
         for pdf in batches:
             held.append(pdf[column].to_numpy(dtype=np.int64))
             count += len(pdf)
-            if count >= 2_000_000:
+            if count >= 500_000:
                 yield from flush()
                 held, count = [], 0
         if count:

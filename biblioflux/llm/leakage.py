@@ -45,7 +45,7 @@ class Hashes:
 
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 2_000_000:
+        if len(known) > 500_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -77,7 +77,7 @@ def overlap_many(line: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np
     """
     out = np.zeros(len(begin), dtype=bool)
     width = int((last - first).max(initial=0))
-    step = max(1, 4_000_000 // max(1, width))
+    step = max(1, 1_000_000 // max(1, width))
     for s in range(0, len(begin), step):
         b, e, f, z, o = (x[s : s + step, None] for x in (begin, end, first, last, offset))
         i = np.arange(width)[None, :]

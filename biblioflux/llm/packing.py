@@ -64,9 +64,10 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
 
 
 def pack(sizes: list[int], capacity: int) -> list[int]:
-    """The number of the pack (from 0) of each item: the longest item left, then the fullest combination beside it, again and again.
+    """The number of the pack (from 0) of each item: a first item, then the fullest combination beside it, again and again.
 
-    Every size must be from 1 to ``capacity``.
+    First come the lengths that leave the most room in packs of their own kind, as those just above a half or a third of the
+    capacity; left to the end they would find no partners. Every size must be from 1 to ``capacity``.
     """
     where: dict[int, list[int]] = {}
     for k in range(len(sizes) - 1, -1, -1):
@@ -81,12 +82,12 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
         if not counts[n]:
             del lengths[bisect_right(lengths, n) - 1]
 
-    while lengths:
-        first = lengths[-1]
-        take(first)
-        for n in fullest(lengths, counts, capacity - first):
-            take(n)
-        number += 1
+    for first in sorted(where, key=lambda n: (capacity % n, n), reverse=True):
+        while counts[first]:
+            take(first)
+            for n in fullest(lengths, counts, capacity - first):
+                take(n)
+            number += 1
     return out
 
 
