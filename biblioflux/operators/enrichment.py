@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from biblioflux.functions.text import py_strip, strip_tags
 from biblioflux.operators.filters import has_abstract
+from biblioflux.session import checkpointed
 
 
 def waterfall(records: DataFrame, stages: list[tuple[str, DataFrame, str]], row_id: str = "cluster_id") -> DataFrame:
     """``records`` with ``abstract`` filled and ``abstract_source`` naming who delivered it (null where nobody did or it was there).
 
     ``stages`` are (name, provider with one row per key and a column ``found``, key column), tried in this order; a record asks a
-    stage only while it misses an abstract, so each join carries fewer rows than the one before. A provider's null or empty
-    ``found`` counts as no answer; null and empty keys ask nothing.
+    stage only while it misses an abstract, so each join carries fewer rows than the one before; what a stage was asked is kept in
+    the shared folder, so that no stage is run again for the ones behind it. Records without the stage's key pass it by. A provider's
+    null or empty ``found`` counts as no answer.
     """
     there = has_abstract(F.col("abstract"))
     done = [records.filter(there).withColumn("abstract_source", F.lit(None).cast("string"))]
     missing = records.filter(~there)
     for name, provider, key in stages:
         answers = provider.select(F.col(key).alias("__key"), F.col("found").alias("__found")).filter("__key <> '' AND __found <> ''")
-        asked = missing.join(answers, F.col(key) == F.col("__key"), "left").drop("__key")
+        keyed = F.coalesce(F.col(key) != "", F.lit(False))
+        asked = missing.filter(keyed).join(answers, F.col(key) == F.col("__key"), "left").drop("__key")
+        asked = checkpointed(asked.unionByName(missing.filter(~keyed).withColumn("__found", F.lit(None).cast("string"))))
         got = asked.filter("__found is not null")
         done.append(got.withColumn("abstract", F.col("__found")).drop("__found").withColumn("abstract_source", F.lit(name)))
         missing = asked.filter("__found is null").drop("__found")
