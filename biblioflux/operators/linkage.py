@@ -48,9 +48,10 @@ def link(records: DataFrame) -> DataFrame:
         hubs = now.filter("root <> ord").groupBy(F.col("root").alias("hub")).agg(F.count("*").alias("n"))
         ups = hubs.join(now.filter("root <> ord").select(F.col("ord").alias("hub"), F.col("root").alias("up")), "hub")
         ups = checkpointed(ups)
-        if ups.isEmpty():
+        most = ups.agg(F.max("n")).first()[0]
+        if not most:
             break
-        moved = join_aggregate(now.filter("root <> ord").withColumnRenamed("root", "hub"), ups, ["hub"], "n").select("ord", "up")
+        moved = join_aggregate(now.filter("root <> ord").withColumnRenamed("root", "hub"), ups, ["hub"], "n", most=most).select("ord", "up")
         now = checkpointed(now.join(moved, "ord", "left").select("ord", F.coalesce("up", "root").alias("root"), "reason"))
     ids = with_positions(now.filter("root = ord").select(F.col("ord").alias("founder")), ["founder"], "cluster_id")
     sizes = now.groupBy("root").agg(F.count("*").alias("n")).join(ids, F.col("root") == F.col("founder")).select("root", "n", "cluster_id")

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 HOT_ROWS = 200_000
 
 
-def join_aggregate(rows: DataFrame, agg: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_aggregate(rows: DataFrame, agg: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROWS, most: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``agg`` (one row per key, ``n`` = rows of the key).
 
     Rows of a hot key are spread over ceil(n / hot_rows) salts, and its single aggregate row is repeated for each of them. The salt
     is a hash of the whole row, so that a task that runs again sends its rows to the same places.
-    Null keys match nothing. ``agg`` is read up to three times, so it should be materialized.
+    Null keys match nothing. ``agg`` is read up to three times, so it should be materialized. ``most`` is the largest ``n``, if the
+    caller knows it.
     """
-    if (agg.agg(F.max(n)).first()[0] or 0) <= hot_rows:
+    if most is None:
+        most = agg.agg(F.max(n)).first()[0] or 0
+    if most <= hot_rows:
         return rows.join(agg, keys)
     hot = agg.filter(F.col(n) > hot_rows).select(*keys, F.ceil(F.col(n) / hot_rows).cast("int").alias("__salts"))
     salted = rows.join(F.broadcast(hot), keys, "left")
