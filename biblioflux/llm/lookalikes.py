@@ -26,8 +26,8 @@ ONLY_IN_WORDS = set("ν")
 INVISIBLE = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" and not 0xE0000 <= c] + [chr(c) for c in range(0xFE00, 0xFE10)] + ["͏"]
 SPACES = [chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs" and c != 0x20]
 WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)]
-#: What a text must hold for a rewrite to be possible, as a Java pattern.
-SUSPECT = r"[\p{Mn}\p{IsCyrillic}\p{IsGreek}" + "".join(f"\\x{{{ord(ch):x}}}" for ch in INVISIBLE + SPACES) + r"\x{ff01}-\x{ff5e}]"
+#: What a text must hold for a rewrite to be possible, as a Java pattern: everything rewritten lies above Latin letters but for two.
+SUSPECT = r"[\xa0\xad\x{250}-\x{10ffff}]"
 _SEGMENT = re.compile(r"[;|\t\r\n,/•·]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
