@@ -38,7 +38,9 @@ SPACED = "concat(' ', replace(replace(replace(replace(TEXT, :nl, ' '), :cr, ' ')
 #: SQL: words in lower case; those with figures or inner capitals become the class '#', with their closing punctuation kept.
 WORDS = "split(ltrim(lower(regexp_replace(CASE WHEN contains(TEXT, '  ') THEN regexp_replace(TEXT, ' +', ' ') ELSE TEXT END, :mask, ' #'))), ' ')"
 #: SQL: a word's hash without outer punctuation, its lowest bit telling whether a sentence ends behind it.
-STOPS = "(right(w, 1) IN ('.', '!', '?', '。') OR right(w, 1) IN (')', '\"', '”', '’', '»', ']') AND right(rtrim(:closing, w), 1) IN ('.', '!', '?', '。'))"
+_ENDS = " OR ".join(f"endswith(w, '{x}')" for x in ".!?。")
+_CLOSES = " OR ".join(f"endswith(w, '{x}')" for x in ')"”’»]')
+STOPS = f"({_ENDS} OR ({_CLOSES}) AND right(rtrim(:closing, w), 1) IN ('.', '!', '?', '。'))"
 HASHES = f"transform({WORDS}, w -> (xxhash64(trim(BOTH :outer FROM w)) & -2) | CASE WHEN {STOPS} THEN 1 ELSE 0 END)"
 
 #: LATERAL VIEW explode(array(x)) evaluates x once a row; a plain column would be computed again for every use of it.
@@ -63,9 +65,9 @@ WITH {TIDY}, words AS (
   LATERAL VIEW explode(array({HASHES.replace("TEXT", "line")})) t AS w
 )
 SELECT h3, first(h1 & -2) AS h1, count_if(h1 & 1 = 1) AS ends, count_if(h1 & 1 = 0) AS inside
-FROM (SELECT inline(transform(sequence(3, size(w) - 1 + CAST(try_element_at(w, -1) & 1 AS INT)), i -> named_struct(
-        'h3', xxhash64(w[i - 3], w[i - 2], w[i - 1] & -2), 'h1', w[i - 1])))
-      FROM words WHERE size(w) > 3)
+FROM (SELECT xxhash64(a, b, h1 & -2) AS h3, h1
+      FROM (SELECT inline(arrays_zip(slice(w, 1, n), slice(w, 2, n), slice(w, 3, n))) AS (a, b, h1)
+            FROM (SELECT w, size(w) - 3 + CAST(try_element_at(w, -1) & 1 AS INT) AS n FROM words WHERE size(w) > 3)))
 GROUP BY h3
 """
 
