@@ -88,6 +88,3 @@ def record_groups(df: DataFrame, row_id: str = "cluster_id") -> DataFrame:
     # read for the hubs and for the edges: the patterns that make them are costly, the keys are small
     keys = checkpointed(match_keys(df, row_id).distinct())
     return components(star_edges(keys, row_id)).select(F.col("node").alias(row_id), "group_id")
-
-
-

@@ -120,11 +120,12 @@ def item_seeds(items: DataFrame, item_id: str, passage: str) -> DataFrame:
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id) of every document that contains a passage or enough of its successive words.
 
-    Both ids are longs; whole texts are read; null and empty texts have no leaks, and a passage of fewer words than LEAST_WORDS is
+    Both ids are longs; rows with a null id are left out; whole texts are read; null and empty texts have no leaks, and a passage of fewer words than LEAST_WORDS is
     never found. Repeated documents count on their own; repeated item ids give one row. Test items up to ``max_bytes`` go to
     every task; a larger test side is joined by hash in a shuffle, with the same result.
     """
-    small = items.select(item_id, passage).filter(F.col(passage).isNotNull())
+    small = items.select(item_id, passage).filter(F.col(item_id).isNotNull() & F.col(passage).isNotNull())
+    docs = docs.filter(F.col(doc_id).isNotNull())
     # a seed takes 24 bytes, and a passage has no more words than characters
     size = small.agg(F.sum(F.length(passage)).alias("n")).first()["n"] or 0
     if size * (24 * len(MASKS) // 4 + 1) <= max_bytes:

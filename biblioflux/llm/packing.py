@@ -23,7 +23,7 @@ FULL = 0.995
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of every row; 0 for null and empty texts. Texts are counted whole."""
+    """(doc_id, n_tokens) of every row with an id; 0 for null and empty texts. Texts are counted whole."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -34,7 +34,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
         for pdf in batches:
             yield pd.DataFrame({"d": pdf[doc_id], "n": [len(encoding.encode_ordinary(t)) if t else 0 for t in pdf[text]]}).astype({"n": "int64"})
 
-    return docs.select(doc_id, text).mapInPandas(count, f"d {dict(docs.dtypes)[doc_id]}, n long").select(F.col("d").alias(doc_id), F.col("n").alias("n_tokens"))
+    return docs.select(doc_id, text).filter(F.col(doc_id).isNotNull()).mapInPandas(count, f"d {dict(docs.dtypes)[doc_id]}, n long").select(F.col("d").alias(doc_id), F.col("n").alias("n_tokens"))
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:

@@ -114,9 +114,9 @@ def test_packs_hold_everything_once(spark):
 
 
 def test_token_counts(rows):
-    df = rows([(1, "Two words"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, "é" * 1000)], "doc_id long, text string")
+    df = rows([(1, "Two words"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, "é" * 1000), (None, "x"), (2**60 + 1, "x")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df, "doc_id", "text").collect()}
-    assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1 and got[5] >= 500
+    assert got[1] == 2 and got[2] == got[3] == 0 and got[2**60 + 1] == 1 and None not in got and got[4] > 1 and got[5] >= 500
 
 
 # ---- leakage -----------------------------------------------------------------------------------------------------------------
@@ -156,8 +156,8 @@ def test_leaks_in_every_disguise(rows, path):
         PASSAGE.replace("four", "seven").replace("half", "most"), "“" + PASSAGE.replace("held-out", "held‐out") + "”",
     ]
     clean = ["Nothing here", " ".join(words[:12]), " ".join(words[:10]) + " and other " + " ".join(words[14:22]), None, "", "stock wording of the prompt " * 20, "x " * 40_000]
-    docs = rows([(k, t, 1) for k, t in enumerate(hidden + clean)] + [(0, PASSAGE, 1)], "doc_id long, text string, item_id int")
-    items = rows([(7, PASSAGE, "p"), (8, "too short", "p"), (9, None, "p"), (7, PASSAGE, "p")], "item_id long, passage string, doc_id string")
+    docs = rows([(k, t, 1) for k, t in enumerate(hidden + clean)] + [(0, PASSAGE, 1), (None, PASSAGE, 1)], "doc_id long, text string, item_id int")
+    items = rows([(7, PASSAGE, "p"), (8, "too short", "p"), (9, None, "p"), (7, PASSAGE, "p"), (None, PASSAGE, "p")], "item_id long, passage string, doc_id string")
     got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage", **({} if path == "broadcast" else {"max_bytes": 0})).collect()
     assert sorted(tuple(r) for r in got) == [(k, 7) for k in range(len(hidden))]
     assert leakage.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "passage").collect() == []
