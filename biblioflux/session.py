@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder, so that a lost executor costs no recomputation of the loop."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like checkpointed, as a compressed table in the shared folder: for rows with long texts, which a checkpoint keeps uncompressed."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
