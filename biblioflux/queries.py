@@ -382,6 +382,8 @@ def enrich_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("crossref", enrichment.by_doi(source.filter("source_db IN ('springernature', 'scopus')"), tags=True), "doi_key"),
         ("pubmed", enrichment.by_doi(source.filter("source_db = 'pubmed'"), "pmid_key"), "pmid_key"),
         ("s2_title", enrichment.by_doi(scholar, "title_key"), "title_key"),
+        # beyond the SQL, which ends at equal titles
+        ("s2_title", lambda missing: enrichment.by_similar_title(missing, scholar, "title_key"), "title_key"),
     ]
     return enrichment.waterfall(records, stages).select("cluster_id", "abstract", "abstract_source")
 
