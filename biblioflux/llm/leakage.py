@@ -16,6 +16,9 @@ MASKS = ("11011011", "111001011", "1100110101")
 #: Windows that count as an overlap: at most this share of changed words, at least this many words. Short windows must agree in full, as
 #: sentences of a common pattern agree in 15 words but for one without being copies.
 LIMITS = ((0.0, 15), (0.10, 20), (0.12, 40))
+#: Where the overlap is the whole passage or the whole document, no pattern around it is left to explain it: this share of changed
+#: words from LEAST_WORDS on.
+WHOLE_SHARE = 0.10
 LEAST_WORDS = min(n for _, n in LIMITS)
 
 #: Test side up to this size is sent to every task; beyond it both sides are shuffled by hash.
@@ -70,7 +73,7 @@ def seeds(h: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def overlap_many(line: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np.ndarray, first: np.ndarray, last: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """For each candidate, whether its texts agree along one diagonal in a window by LIMITS.
+    """For each candidate, whether its texts agree along one diagonal in a window by LIMITS, or as a whole but for WHOLE_SHARE.
 
     Document k is line[begin[k]:end[k]], its passage items[first[k]:last[k]], and word i of the passage stands beside word
     i + offset[k] of the document. Candidates are handled together, as many as fit a bounded matrix.
@@ -84,6 +87,9 @@ def overlap_many(line: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np
         at = b + o + i
         valid = (f + i < z) & (at >= b) & (at < e)
         same = valid & (line[np.where(valid, at, 0)] == items[np.where(valid, f + i, 0)])
+        beside = valid.sum(axis=1)
+        whole = (beside >= LEAST_WORDS) & ((beside == (z - f)[:, 0]) | (beside == (e - b)[:, 0]))
+        out[s : s + step] = whole & (same.sum(axis=1) >= (1 - WHOLE_SHARE) * beside - 1e-9)
         # a window (i, j] fits if its agreed words less (1 - share) of its length aren't below 0; positions outside never agree
         agreed = np.concatenate([np.zeros((len(same), 1)), np.cumsum(same, axis=1)], axis=1)
         for share, least in LIMITS:

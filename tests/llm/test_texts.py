@@ -164,6 +164,17 @@ def test_leaks_in_every_disguise(rows, path):
     assert leakage.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "passage").collect() == []
 
 
+@pytest.mark.parametrize("path", ["broadcast", "shuffle"])
+def test_short_wholes_with_a_changed_word(rows, path):
+    words = PASSAGE.split()
+    part, short = " ".join([*words[4:11], "changed", *words[12:19]]), " ".join(words[:16])
+    docs = rows([(1, part), (2, "before " + part + " after"), (3, "before " + short.replace("readers", "raters") + " after"), (4, short.replace("four readers", "six raters"))], "doc_id long, text string")
+    items = rows([(7, PASSAGE), (8, short)], "item_id long, passage string")
+    got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage", **({} if path == "broadcast" else {"max_bytes": 0})).collect()
+    # a whole document of 15 words, a whole passage of 16; a part inside a longer text, or two changed words of 16, aren't enough
+    assert sorted(tuple(r) for r in got) == [(1, 7), (3, 8)]
+
+
 def test_seeds_ignore_masked_positions():
     hashes = leakage.Hashes()
     a, b = (hashes.of(s.split()) for s in ("a b c d e f g h", "a b X d e X g h"))
