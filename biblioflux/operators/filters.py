@@ -41,7 +41,7 @@ def all_blocks(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def first_wins(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
     """The first row of every key; rows without a key are dropped. One aggregation with partial results, no window."""
     rest = [c for c in df.columns if c != key]
     picked = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioflux.operators.filters import first_wins
+
 
 def counts_by_window(stream: DataFrame, ts: str, by: str, window: str = "1 day", late: str = "7 days") -> DataFrame:
     """(window_start, by, n) of an unbounded or bounded table; rows later than ``late`` behind the newest are dropped on a stream."""
@@ -16,11 +18,14 @@ def counts_by_window(stream: DataFrame, ts: str, by: str, window: str = "1 day",
 
 
 def first_arrivals(stream: DataFrame, key: str, ts: str, within: str = "30 days") -> DataFrame:
-    """The first row of each key; a stream forgets a key after ``within``, which bounds its state. Rows without a key are dropped."""
+    """The first row of each key; a stream forgets a key after ``within``, which bounds its state. Rows without a key are dropped.
+
+    A table's first row is the one of the least ``ts``, a row without it coming last, and any of several at the same time; a
+    stream's is the one that arrives first."""
     keyed = stream.filter(F.col(key).isNotNull())
     if stream.isStreaming:
         return keyed.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
-    return keyed.dropDuplicates([key])
+    return first_wins(keyed, key, [F.col(ts).isNull(), F.col(ts)]).select(*stream.columns)
 
 
 def append_new_keys(read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], key: str, first: str) -> Callable[[DataFrame, int], None]:

@@ -24,6 +24,15 @@ def test_streams_agree_with_tables(spark, rows, tmp_path):
     assert sorted((r["db"], r["n"]) for r in run(arrivals.counts_by_window(stream, "ts", "db"), "complete")) == [("x", 2), ("y", 1), ("y", 1)]
 
 
+def test_a_table_keeps_the_earliest_row(rows):
+    data = [(f"k{k}", ts, db, k) for k in range(20) for ts, db in ((None, "undated"), ("2026-01-03 00:00:00", "later"), ("2026-01-01 00:00:00", "first"), ("2026-01-02 00:00:00", "next"))]
+    data += [("only", None, "undated", 1), (None, "2026-01-01 00:00:00", "no key", 1)]
+    df = rows(data, "k string, ts string, db string, ord long").selectExpr("ord", "k", "cast(ts as timestamp) ts", "db")
+    got = arrivals.first_arrivals(df, "k", "ts")
+    assert got.columns == df.columns
+    assert {r["k"]: r["db"] for r in got.collect()} == {f"k{k}": "first" for k in range(20)} | {"only": "undated"} and got.count() == 21
+
+
 def test_new_keys_are_registered_once(spark, rows):
     stored = {}
 
