@@ -83,6 +83,32 @@ def test_paged_source(spark, tmp_path):
     assert sorted(json.loads(r["item"])["id"] for r in df.collect()) == list(range(10))  # the sixth page is missing
 
 
+def test_pages_in_sequence(spark, tmp_path):
+    put = lambda name, ids, **more: (tmp_path / f"{name}.json").write_text(json.dumps({"data": [{"id": k} for k in ids], **more}))
+    spark.dataSource.register(paged.PagedSource)
+
+    def read(**options):
+        df = spark.read.format("paged").options(items="data", delay=0, retries=1, **options).load()
+        return [(r["page"], r["pos"], json.loads(r["item"])["id"]) for r in df.collect()]
+
+    # a token leads on, over an empty page too; the last page has none
+    put("t", [0, 1], meta={"next": "a"}), put("t-a", [], meta={"next": "b"}), put("t-b", [2], meta={"next": None})
+    url = f"file://{tmp_path}/t-{{token}}.json"
+    assert read(url=url, firstUrl=f"file://{tmp_path}/t.json", next="meta.next") == [(0, 0, 0), (0, 1, 1), (2, 0, 2)]
+    # a cursor that stays the same ends the pages
+    put("c-s", [0], mark="x+y"), put("c-x+y", [1], mark="x+y")
+    assert read(url=f"file://{tmp_path}/c-{{token}}.json", first="s", next="mark") == [(0, 0, 0), (1, 0, 1)]
+    # a short page ends the offset pages
+    put("o-0", [0, 1]), put("o-2", [2, 3]), put("o-4", [4]), put("o-6", [5])
+    assert [r[2] for r in read(url=f"file://{tmp_path}/o-{{offset}}.json", pageSize=2)] == [0, 1, 2, 3, 4]
+    # a lost page fails
+    put("t-a", [9], meta={"next": "lost"})
+    with pytest.raises(Exception, match="isn't there"):
+        read(url=url, firstUrl=f"file://{tmp_path}/t.json", next="meta.next")
+    with pytest.raises(Exception, match="isn't there"):
+        read(url=f"file://{tmp_path}/o-{{offset}}.json", pageSize=2, total=20, missing="fail")
+
+
 def test_retries():
     waits = []
     answers = iter([(429, ""), (500, ""), (200, "ok")])
