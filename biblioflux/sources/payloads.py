@@ -93,3 +93,17 @@ def springernature(df: DataFrame, column: str) -> DataFrame:
         _or_empty(F.get(urls["value"], F.lit(0))).alias("url"), F.transform(F.coalesce(names, F.array().cast("array<string>")), _or_empty).alias("authors"),
         *[_or_empty(f"i.{c}").alias(c) for c in ("publicationDate", "publicationName", "contentType", "abstract", "openaccess")],
     )
+
+
+def google_scholar(df: DataFrame, column: str, query_id: str = "") -> DataFrame:
+    """The address falls back on the eprint's where the publication has none; a single author's name is a list of one."""
+    ddl = "bib struct<title:string, author:string, pub_year:string, abstract:string, venue:string>, pub_url string, eprint_url string, num_citations int, citedby_url string"
+    i = _item(df, column, ddl)
+    names = F.from_json("i.bib.author", "array<string>")
+    one = F.when(_or_empty("i.bib.author") != "", F.array("i.bib.author"))
+    return i.select(
+        F.lit("google_scholar").alias("source"), F.lit(query_id).alias("query_id"), _or_empty("i.bib.title").alias("title"),
+        F.coalesce(F.when(F.startswith("i.bib.author", F.lit("[")), F.transform(names, _or_empty)), one, F.array().cast("array<string>")).alias("authors"), _or_empty("i.bib.pub_year").alias("year"),
+        *[_or_empty(f"i.bib.{c}").alias(c) for c in ("abstract", "venue")], F.coalesce("i.pub_url", "i.eprint_url", F.lit("")).alias("url"),
+        F.coalesce("i.num_citations", F.lit(0)).alias("num_citations"), _or_empty("i.citedby_url").alias("citedby_url"),
+    )

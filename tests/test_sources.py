@@ -73,6 +73,17 @@ def test_json_payloads(rows):
     assert one(payloads.springernature, {"doi": "d", "creators": "text"})["authors"] == []
 
 
+def test_google_scholar_payload(spark, rows):
+    one = lambda item: payloads.google_scholar(rows([(json.dumps(item),)], "x string"), "x", "gs_q1").first().asDict()
+    bib = {"title": "A [title]", "author": ["X Y", "Z"], "pub_year": 2021, "abstract": "text", "venue": "J"}
+    assert one({"bib": bib, "eprint_url": "e", "num_citations": 3, "citedby_url": "/c"}) == {
+        "source": "google_scholar", "query_id": "gs_q1", "title": "A [title]", "authors": ["X Y", "Z"], "year": "2021", "abstract": "text", "venue": "J", "url": "e", "num_citations": 3, "citedby_url": "/c",
+    }
+    assert one({"bib": {"author": "X Y"}, "pub_url": "p", "eprint_url": "e"})["url"] == "p" and one({"bib": {"author": "X Y"}})["authors"] == ["X Y"]
+    empty = one({"other": 1})
+    assert (empty["title"], empty["authors"], empty["year"], empty["url"], empty["num_citations"]) == ("", [], "", "", 0)
+
+
 def test_paged_source(spark, tmp_path):
     for page in range(5):
         (tmp_path / f"p{page}.json").write_text(json.dumps({"hits": {"items": [{"id": page * 2 + k} for k in range(2)]}}))
