@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from biblioflux.operators.packed_fields import split_packed
 from biblioflux.operators.positions import with_positions
 from biblioflux.operators.title_match import similar_titles
 from biblioflux.plans.boolean import search
+from biblioflux.plans.published import PUBLISHED
 from biblioflux.session import checkpointed, table
 from biblioflux.streaming.arrivals import counts_by_window, first_arrivals
 
@@ -353,6 +355,42 @@ def bool_google_scholar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, '"foundation model" generative chromatin', "google_scholar")
 
 
+def _published_sql(dialect: str, name: str) -> str:
+    """SQL of a published text by replacing its parts one by one, apart from the parser."""
+    between = lambda c, low, high: f"coalesce({c} >= '{low}' and left({c}, {len(high)}) <= '{high}', false)"
+    kept: list[str] = []
+
+    def keep(sql: str) -> str:
+        kept.append(sql)
+        return f" @{len(kept) - 1}@ "
+
+    def term(m: re.Match) -> str:
+        word = m[2].strip('"')
+        if word in ("AND", "OR"):
+            return m[0]
+        fields = {"ti:": ("title",), "abs:": ("abstract",)}.get(m[1], _K if dialect == "scopus" else _TA)
+        return keep(_has(word, *fields))
+
+    text = PUBLISHED[dialect][name]
+    text = re.sub(r'"free full text"\[sb\]|English\[Language\]|(?:OPENACCESS|LANGUAGE)\(\w+\)|SRC:PPR|cat:[\w.-]+', lambda _: keep("true"), text)
+    text = re.sub(r'\("2018/01/01"\[Date - Publication\] : "2026/02/28"\[Date - Publication\]\)|(?:submittedDate|FIRST_PDATE):\[[^]]*\]', lambda _: keep(between("date", "2018-01-01", "2026-02-28")), text)
+    text = re.sub(r"datefrom:\S+ dateto:\S+", lambda _: keep(f"{between('date', '2018-01-01', '9999')} and {between('date', '0000', '2026-02-28')}"), text)
+    text = text.replace("PUBYEAR > 2017", keep(between("year", "2018", "9999"))).replace("TITLE-ABS-KEY", "")
+    text = text.replace(" | ", " OR ").replace(" + ", " AND ")
+    text = re.sub(r'(?<!@)(ti:|abs:)?("[^"]*"|(?<![\w@-])[A-Za-z][\w*-]*)(\[Title/Abstract\])?', term, text)
+    text = re.sub(r"@\s+@", "@ AND @", text)
+    return re.sub(r"@(\d+)@", lambda m: f"({kept[int(m[1])]})", text)
+
+
+@query(" union all ".join(f"select '{d}' as dialect, '{n}' as name, cluster_id from deduplicated_records where {_published_sql(d, n)}" for d in PUBLISHED for n in PUBLISHED[d]))
+def bool_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # language, access, category and source have no column here: the provider is taken to have applied them
+    columns = {"title": F.col("title"), "abstract": F.col("abstract"), "keywords": F.col("venue"), "year": F.col("year"), "date": F.col("date")}
+    hits = [F.when(search(text, d, columns), F.struct(F.lit(d).alias("dialect"), F.lit(n).alias("name"))) for d, texts in PUBLISHED.items() for n, text in texts.items()]
+    found = table(spark, sf_dir, "deduplicated_records").select("cluster_id", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return found.select("h.dialect", "h.name", "cluster_id")
+
+
 # ---- enrichment and titles ---------------------------------------------------------------------------------------------------
 
 _D = f"{_strip("lower(regexp_replace(" + _strip("coalesce(doi, '')") + ", '^https?://(dx.)?doi.org/', '', 'i'))")}"

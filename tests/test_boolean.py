@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from biblioflux.plans.boolean import And, Facet, Not, Or, Range, Term, parse, search
+from biblioflux.plans.boolean import DIALECTS, And, Facet, Not, Or, Range, Term, parse, search
+from biblioflux.plans.published import PUBLISHED
 
 ROWS = [
     (1, "A large language-model for cells", "single cell tokenizers", "2020-05-01"), (2, "GPT review", "gene expression", "2017"),
@@ -44,3 +45,18 @@ def test_errors(bad):
 def test_unknown_dialect():
     with pytest.raises(ValueError):
         parse("a", "other")
+
+
+def test_published_texts():
+    trees = {(d, n): parse(text, d) for d, texts in PUBLISHED.items() for n, text in texts.items()}
+    assert len(trees) == 17 and {d for d, _ in trees} == set(DIALECTS)
+    blocks = lambda d, n="main": [len(x.items) for x in trees[d, n].items if isinstance(x, Or)]
+    assert blocks("pubmed") == []  # the blocks stand in a bracket of their own
+    assert [len(x.items) for x in trees["pubmed", "main"].items[0].items] == [20, 16, 14]
+    assert trees["pubmed", "main"].items[1:] == (Range("date", "2018-01-01", "2026-02-28"), Facet("subset", "free full text"), Facet("language", "English"))
+    assert [len(x.items) for x in trees["scopus", "main"].items[0].items] == [20, 16, 14]
+    assert trees["scopus", "main"].items[1:] == (Range("year", "2018", "9999"), Facet("open_access", "1"), Facet("language", "English"))
+    assert blocks("semantic_scholar") == [13, 13, 10] and blocks("europepmc") == [17, 14, 11]
+    assert [len(x.items) for x in trees["springernature", "main"].items[0].items] == [20, 14, 14]
+    assert [len(x.items) for x in trees["arxiv", "primary"].items[0].items] == [11, 12, 8] and len(trees["arxiv", "primary"].items[1].items) == 6
+    assert trees["google_scholar", "gs_q2"] == And((Term("GPT"), Term("single cell"), Term("gene expression"), Term("generative")))
