@@ -1,8 +1,9 @@
 """Split fields that pack several values into one string, with the delimiter inferred per source.
 
-Every candidate way of splitting (literal list, strong separators, " and ", commas, comma pairs, a mixture) is scored on each
-field: the share of pieces of a regular type and the agreement of those types. Candidate scores and piece-count spread are
-summed per source over all rows, and the winner of a field is its own score plus a small share of its source's profile.
+Every candidate way of splitting (literal list, strong separators, " and ", commas, comma pairs, a mixture) is scored over all rows
+of a source: by the regularity of its pieces' types and the consistency of its piece counts. These scores rank the source's
+delimiters, and each field is split by the first of them under which all its pieces are regular: a field departs from its source's
+delimiter only on the evidence of its own pieces.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ STRONG = {
     "bullet": re.compile(r"[•·‧∙]"), "slash": re.compile(r"/"),
 }
 MARKS = {"semicolon": ";", "bar": "|", "line": "\n\r", "tab": "\t", "bullet": "•·‧∙", "slash": "/", "comma": ",", "comma_pairs": ","}
-#: Weight of the source's profile beside the field's own score.
-PRIOR_WEIGHT = 0.08
 
 _AND = re.compile(r",?\s+and\s+|\s*&\s*")
 _COMMA = re.compile(r",?\s+(?:and|&)\s+|,\s*(?:and\s+|&\s*)?|\s*&\s*")
@@ -37,7 +36,7 @@ _SUFFIX = re.compile(r"(?:Jr|Sr|II|III|IV|V)\.?$", re.I)
 _ETAL = re.compile(r"[\[(]?(?:et\.?\s*al\.?|and others|u\.\s?a\.)[\])]?\.?$", re.I)
 # Words by which a group author is known.
 _KW = r"(?:Consortium|Group|Network|Lab|Labs|Laboratory|Centre|Center|Team|Unit|Initiative|Collaboration|Collaborators|Committee|Society|Project|Alliance|Institute|University|Investigators|Association|Program|Programme|Council|Foundation|Atlas)"
-_GROUP = re.compile(rf"(?:The\s)?[^,;|&\"]*\b{_KW}\b[^,;|&\"]*$|[^,;|&\"]*\b{_KW}\s(?:on|for|of)\s[^;|\"]*$|[^;,|&\"]+;\s[^,|&\"]*\b(?:Data|Models|Team|Unit \d+)$")
+_GROUP = re.compile(rf"(?:The\s)?[^,;|&\"]*\b{_KW}\b[^,;|&\"]*$|[^,;|&\"]*\b{_KW}\s(?:on|for|of)\s[^;|\"]*$")
 #: A group name with its own comma and conjunction, masked before splitting on commas or conjunctions.
 _GROUP_SPAN = re.compile(rf"(?:[^\W\d_]+\s)*{_KW}\s(?:on|for|of)\s[^;|,\"&]+(?:,\s[^;|,\"&]+)*?(?:\s+and\s+|\s*&\s*)[^;|,\"&]+")
 _CAP = r"[^\W\d_a-z][\w'’.\-]*"
@@ -59,8 +58,14 @@ def _plain(s: str) -> str:
     return " ".join(s.split())
 
 
+class Quoted(str):
+    """A piece that stood in the packing's quotes: it is one value as it stands, whatever it is made of."""
+
+
 def piece_type(piece: str) -> str:
-    """'comma_name', 'initials', 'words', 'group', or '' for an irregular piece."""
+    """'comma_name', 'initials', 'words', 'group' (a quoted piece too), or '' for an irregular piece."""
+    if isinstance(piece, Quoted):
+        return "group"
     if any(ch in piece for ch in "\t\r\n"):
         return ""
     p = _plain(piece)
@@ -76,10 +81,12 @@ def _unquote(p: str) -> str:
     """Strip white space and one layer of packing quotes; a doubled or escaped inner quote becomes one."""
     p = p.strip()
     if len(p) >= 2 and p[0] == p[-1] == '"':
-        p = p[1:-1].replace('\\"', '"').replace('""', '"').strip()
+        inner = p[1:-1].replace('\\"', '"').replace('""', '"').strip()
+        return Quoted(inner) if _ONE_QUOTED.fullmatch(p) else inner
     return p
 
 
+_ONE_QUOTED = re.compile(r'"(?:[^"\\]|""|\\.)*"', re.S)
 _QUOTED_ITEM = re.compile(r'(?:^|(?<=[;|,\t\n/•·]))\s*("(?:[^"\\]|""|\\.)*")\s*(?=$|[;|,\t\r\n/•·])')
 
 
@@ -209,18 +216,31 @@ def scores_of(s: str) -> dict[str, tuple[float, list[str]]]:
     return out
 
 
-def split_field(s: str | None, profile: dict[str, float] | None = None) -> list[str]:
-    """The values of one field; ties go to the candidate that is earlier in CANDIDATES."""
+def ranking(profile: dict[str, float] | None) -> list[str]:
+    """A source's candidates, the best of its profile first; those that it never split by follow in the order of CANDIDATES."""
+    profile = profile or {}
+    return ["list", *sorted(CANDIDATES[1:], key=lambda k: (-profile.get(k, 0.0), CANDIDATES.index(k)))]
+
+
+def split_field(s: str | None, order: list[str] = CANDIDATES) -> list[str]:
+    """The values of one field by the first candidate of its source's ``order`` whose pieces are all regular; where there is none,
+    by the one with the highest share of regular pieces, the earlier one of equals."""
     if s is None or not s.strip():
         return []
-    got = scores_of(s)
-    best = max(got, key=lambda k: (round(got[k][0] + PRIOR_WEIGHT * (profile or {}).get(k, 0.0), 6), -CANDIDATES.index(k)))
-    return got[best][1]
+    tried = []
+    for name in order:
+        pieces = split_by(s, name)
+        if pieces is None:
+            continue
+        if name == "list" or pieces and all(map(piece_type, pieces)):
+            return pieces
+        tried.append(pieces)
+    return max(tried, key=lambda pieces: round(score(pieces), 6))
 
 
 def source_profiles(df: DataFrame, field: str, source: Column) -> DataFrame:
-    """(src, n_rows, profile: map candidate -> 0..1) over all rows: mean score times the evenness of the piece counts, relative to the
-    rows of the source. Batches are summed before the shuffle, so it moves sources x candidates x batches small rows."""
+    """(src, n_rows, profile: map candidate -> 0..1) over all rows: the sum of a candidate's scores less by the spread of its piece
+    counts, relative to the rows of the source. Batches are summed before the shuffle, so it moves sources x candidates x batches small rows."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,8 +250,10 @@ def source_profiles(df: DataFrame, field: str, source: Column) -> DataFrame:
                 sums.setdefault((src, ""), [0, 0.0, 1.0, 0.0])[0] += 1
                 if not s.strip():
                     continue
-                for name, (points, pieces) in scores_of(s).items():
-                    if len(pieces) > 1:
+                got = scores_of(s)
+                for name, (points, pieces) in got.items():
+                    # a field without any separator tells nothing about them
+                    if len(pieces) > 1 or len(got) > 1 and name == "whole":
                         acc = sums.setdefault((src, name), [0, 0.0, 0.0, 0.0])
                         n = len(pieces)
                         acc[0], acc[1], acc[2], acc[3] = acc[0] + 1, acc[1] + points, acc[2] + n, acc[3] + n * n
@@ -256,8 +278,17 @@ def split_packed(df: DataFrame, field: str, source: Column, value: str = "value"
     its length. ``pos`` and ``value`` replace columns of those names. An empty table gives an empty table.
     """
 
-    def pieces(vals: pd.Series, profiles: pd.Series) -> pd.Series:
-        return pd.Series([split_field(v, dict(p) if p is not None else None) for v, p in zip(vals, profiles, strict=True)])
+    orders: dict[str, list[str]] = {}
+
+    def pieces(vals: pd.Series, sources: pd.Series, profiles: pd.Series) -> pd.Series:
+        out = []
+        for v, src, p in zip(vals, sources, profiles, strict=True):
+            if src not in orders:
+                if len(orders) > 100_000:
+                    orders.clear()
+                orders[src] = ranking(dict(p) if p is not None else None)
+            out.append(split_field(v, orders[src]))
+        return pd.Series(out)
 
     # as nondeterministic it is evaluated once, and not again for the filter that an explode brings along
     pieces = F.pandas_udf(pieces, ArrayType(StringType())).asNondeterministic()
@@ -265,5 +296,5 @@ def split_packed(df: DataFrame, field: str, source: Column, value: str = "value"
     keep = [c for c in df.columns if c not in (field, value, pos)]
     rows = df.select(*keep, F.col(field).alias("__val"), F.coalesce(source, F.lit("")).alias("__src")).filter(F.length("__val") > 0)
     joined = join_aggregate(rows, checkpointed(profiles), ["__src"], "__n")
-    split = joined.select(*keep, pieces("__val", "__profile").alias("__pieces"))
+    split = joined.select(*keep, pieces("__val", "__src", "__profile").alias("__pieces"))
     return split.select(*keep, F.posexplode("__pieces").alias(pos, value)).withColumn(pos, (F.col(pos) + 1).cast("long"))

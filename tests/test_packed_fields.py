@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from biblioflux.operators.packed_fields import split_field, split_packed
+from biblioflux.operators.packed_fields import ranking, split_field, split_packed
 
 CASES = {
     "Branzetti W; von Glauzhwen D; ; Dalquelle DO;": ["Branzetti W", "von Glauzhwen D", "Dalquelle DO"],
@@ -53,3 +53,20 @@ def test_source_profile_settles_what_a_field_leaves_open(rows):
     profiles = {r["src"]: r["profile"] for r in source_profiles(df, "authors", F.col("src")).collect()}
     assert max(profiles["semi"], key=profiles["semi"].get) == "semicolon"
     assert max(profiles["bar"], key=profiles["bar"].get) == "bar"
+
+
+def test_the_source_decides_fields_that_fit_several_ways(rows):
+    joint = "Vector Consortium and Atlas Group"
+    data = [(k, "Lee Aa and Tan Bb", "and") for k in range(9)] + [(k, "Lee Aa; Tan Bb", "semi") for k in range(9)]
+    df = rows([*data, (10, joint, "and"), (11, joint, "semi")], "id long, authors string, src string")
+    got = split_packed(df, "authors", F.col("src"), value="author").collect()
+    assert [r["author"] for r in sorted((r for r in got if r["id"] == 10), key=lambda r: r["pos"])] == ["Vector Consortium", "Atlas Group"]
+    assert [r["author"] for r in got if r["id"] == 11] == [joint]
+
+
+def test_a_field_leaves_its_source_on_the_evidence_of_its_pieces():
+    order = ranking({"comma": 0.9, "semicolon": 0.1})
+    assert order[:3] == ["list", "comma", "semicolon"]
+    assert split_field("Lee A, Tan B", order) == ["Lee A", "Tan B"]
+    assert split_field("Lee, Aa; Tan, Bb", order) == ["Lee, Aa", "Tan, Bb"]
+    assert split_field('"Lab; Unit 4"; Tan B', order) == ["Lab; Unit 4", "Tan B"]
