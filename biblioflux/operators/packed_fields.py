@@ -266,9 +266,10 @@ def source_profiles(df: DataFrame, field: str, source: Column) -> DataFrame:
     mean = F.col("pieces") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))) / mean
     scored = total.withColumn("w", F.col("points") / (F.lit(1.0) + spread))
-    named = F.when(F.col("cand") != "", F.struct("cand", (F.col("w") / F.col("n")).alias("w")))
+    named = F.when(F.col("cand") != "", F.struct("cand", "w"))
     n_rows = F.max(F.when(F.col("cand") == "", F.col("n"))).alias("n_rows")
-    return scored.groupBy("src").agg(n_rows, F.map_from_entries(F.collect_list(named)).alias("profile"))
+    summed = scored.groupBy("src").agg(n_rows, F.map_from_entries(F.collect_list(named)).alias("profile"))
+    return summed.withColumn("profile", F.transform_values("profile", lambda _, w: w / F.col("n_rows")))
 
 
 def split_packed(df: DataFrame, field: str, source: Column, value: str = "value", pos: str = "pos") -> DataFrame:
