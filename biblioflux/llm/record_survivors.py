@@ -12,6 +12,10 @@ from biblioflux.llm.truncation import cut_records, is_no_text
 from biblioflux.session import checkpointed, written
 
 
+#: Votes of a whole abstract, a published DOI or the full name of a venue beside one of the others.
+TRUSTED = 4
+
+
 def venue_key(c: Column) -> Column:
     """A venue's name without case, spacing and punctuation, "&" read as "and"."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "&(?:amp;)?", "and"), r"[^\p{L}\p{N}]+", "")
@@ -46,7 +50,10 @@ def surviving_fields(records: DataFrame, venues: DataFrame) -> DataFrame:
     # the reference list is joined as Spark sees fit: it is broadcast only below the session's size threshold
     rich = members.withColumn("venue_key", venue_key(F.col("venue"))).join(ranks, "venue_key", "left").join(cut, "cluster_id")
     values = rich.select("group_id", "cluster_id", F.explode(F.array_compact(F.array(abstract, doi, venue))).alias("v")).select("group_id", "cluster_id", "v.*")
-    kept = best_values(values, ["group_id", "field"], "cluster_id", "text", [F.col("level"), F.col("less"), F.col("cluster_id")])
+    # an abstract is corroborated by each record that has it; identifiers and names are single tokens, of which copies prove nothing
+    trust = F.when(F.col("level") == 0, TRUSTED).otherwise(1)
+    order = [F.col("less"), F.col("cluster_id")]
+    kept = best_values(values, ["group_id", "field"], "cluster_id", "text", F.col("level"), trust, order, F.col("field") == "abstract")
     sources = members.select("group_id", F.explode("sources").alias("kept")).filter(~is_placeholder(F.col("kept"))).distinct()
     return sources.select("group_id", F.lit("sources").alias("field"), "kept").unionByName(
         kept.select("group_id", "field", F.col("cluster_id").cast("string").alias("kept"))

@@ -129,17 +129,35 @@ def test_votes():
     assert consensus(values, [1, 1, 1, 1]) == "the cell atlas of mice".split()
     assert closest(values, [1, 1, 1, 1]) == 1
     assert closest(values, [8, 4, 2, 1]) == 0  # the first outweighs the rest
-    assert consensus([[], ["a"]], [2, 1]) == [] and closest([["x"]], [1]) == 0
+    assert closest(values, [8, 4, 2, 1], [1, 0, 0, 0]) == 1  # a less trusted value votes, but doesn't survive
+    assert consensus([[], ["a"]], [2, 1]) == ["a"] and closest([["x"]], [1]) == 0  # a gap casts no vote
 
 
-def test_best_values_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("biblioflux.llm.survivors.BLOCK", 8)
+def test_votes_beat_the_first_rank():
+    values = [s.split() for s in ("the call atlas if mice and men today", "the cell atlas of mice and men", "the cell atlas of mice")]
+    assert consensus(values, [1, 1, 1]) == "the cell atlas of mice and men today".split()
+    assert closest(values, [1, 1, 1]) == 1
+    assert closest(values, [3, 1, 1]) == 0
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_best_values_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr("biblioflux.llm.survivors.BLOCK", block)
     rng = random.Random(1)
-    data = [(g, k, f"w{rng.randrange(40)} w{rng.randrange(40)}", rng.randrange(3)) for g, size in ((1, 120), (2, 3), (3, 1)) for k in range(size)]
+    words = [f"w{k}" for k in range(30)]
+    data = [(1, 500, " ".join(words[:-1]), 0), (1, 501, " ".join(words), 1)]  # the fullest trusted one, and a fuller one that isn't trusted
+    for k in range(120):
+        damaged = [f"x{rng.randrange(99)}" if rng.random() < 0.2 else w for w in words if rng.random() < 0.8]
+        data.append((1, k, " ".join(damaged), 0))
+    data += [(2, 7, "aa bb cc", 0), (2, 8, "aa bb dd", 0), (2, 9, "aa bb dd", 0), (3, 1, "z", 1), (3, 0, "z", 1), (4, 5, "left", 0), (4, 4, "right", 0)]
     df = spark.createDataFrame(data, "g int, id long, text string, level int")
-    got = {r["g"]: r["id"] for r in best_values(df, ["g"], "id", "text", [F.col("level"), F.col("id")]).collect()}
-    assert got == {g: min((lv, k) for h, k, _, lv in data if h == g)[1] for g in (1, 2, 3)}
-    assert best_values(df.limit(0), ["g"], "id", "text", [F.col("id")]).collect() == []
+
+    def kept(**how):
+        return {r["g"]: r["id"] for r in best_values(df, ["g"], "id", "text", F.col("level"), F.lit(1), [F.col("id")], **how).collect()}
+
+    assert kept() == {1: 500, 2: 8, 3: 0, 4: 4}
+    assert kept(repeated=False) == {1: 500, 2: 7, 3: 0, 4: 4}
+    assert best_values(df.limit(0), ["g"], "id", "text", F.col("level"), F.lit(1), [F.col("id")]).collect() == []
 
 
 def test_surviving_fields(rows):
