@@ -13,13 +13,13 @@ from biblioflux.llm.leakage import leaks
 from biblioflux.llm.lookalikes import consistent
 from biblioflux.llm.packing import pack_documents, token_counts
 from biblioflux.llm.record_survivors import surviving_fields
-from biblioflux.llm.sql import P2_FOUND, P6_FOUND
-from biblioflux.llm.text_quality import text_forms
+from biblioflux.llm.sql import P2_FOUND, P6_FOUND, P9_STATS
+from biblioflux.llm.text_quality import text_forms, text_rules
 from biblioflux.llm.truncation import cut_records, cut_shares
 from biblioflux.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"p2_found": P2_FOUND, "p6_found": P6_FOUND}
+SQL: dict[str, str] = {"p2_found": P2_FOUND, "p6_found": P6_FOUND, "p9_stats": P9_STATS}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,7 +79,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    forms = text_forms(docs, "text", table(spark, sf_dir, "common_words"))
+    ruled = text_rules(docs, "text", table(spark, sf_dir, "common_words"))
+    rounded = {s: F.round(s, 6) for s, kind in ruled.dtypes if kind == "double"}
+    return ruled.drop("text").withColumns(rounded).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forms = text_forms(docs, "text", table(spark, sf_dir, "common_words")).select("doc_id", "form", "reasons", "junk_reasons")
     return forms.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("junk_reasons", F.array_join("junk_reasons", "; "))
 
 

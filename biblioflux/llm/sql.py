@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from biblioflux.functions.identifiers import PLACEHOLDERS
+from biblioflux.functions.text import WS
 from biblioflux.llm.components import BARE_HEADINGS
+from biblioflux.llm.text_quality import BREAK, BULLET, CELL, ENDING, ENTITY, REFERENCE, RULES, SHORT_LINE, STATS, TAG
 
 _GAP = r"[\s\p{Z}\p{Cf}]+"
 _EDGE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -50,3 +52,34 @@ h as (select cluster_id, min(cluster_id) over (partition by kind, key) as hub fr
 e as (select cluster_id as a, hub as b from h where cluster_id <> hub union select hub, cluster_id from h where cluster_id <> hub),
 r(node, seen) as (select a, a from e union select r.node, e.b from r join e on e.a = r.seen)
 select node as cluster_id, min(seen) as group_id from r group by 1"""
+
+
+def _share(part: str, whole: str) -> str:
+    return f"case when {whole} > 0 then ({part}) / {whole} else 0 end"
+
+
+def _lines(test: str) -> str:
+    return _share(f"len(list_filter(lines, lambda x: {test}))", "len(lines)")
+
+
+def _count(mark: str) -> str:
+    return f"(length(body) - length(replace(body, '{mark}', ''))) / {len(mark)}"
+
+
+_WS_DUCK = WS.replace("-\\x20", "-\\x{20}")
+_STATS = {
+    "n_chars": "length(coalesce(text, ''))", "n_words": "len(tokens)", "n_lines": "len(lines)", "mean_word_length": _share("length(coalesce(array_to_string(tokens, ''), ''))", "len(tokens)"),
+    "symbol_ratio": _share(" + ".join(map(_count, ("#", "…", "..."))), "len(tokens)"), "letter_word_share": _share(r"len(list_filter(tokens, lambda x: regexp_matches(x, '\p{L}')))", "len(tokens)"),
+    "end_punctuation_share": _lines(f"regexp_matches(x, '{ENDING}')"), "bullet_share": _lines(f"regexp_matches(x, '{BULLET}')"), "short_line_share": _lines(f"length(x) < {SHORT_LINE}"),
+    "repeated_line_share": _share("len(lines) - len(list_distinct(lines))", "len(lines)"), "common_words": "len(list_distinct(list_filter(words, lambda x: list_contains(known, x))))",
+    "common_share": _share("len(list_filter(words, lambda x: list_contains(known, x)))", "len(words)"), "has_brace": "contains(body, '{')",
+    "reference_share": _lines(f"regexp_matches(x, '{REFERENCE}')"), "has_cells": f"regexp_matches(coalesce(text, ''), '{CELL}')",
+}
+_BODY = f"regexp_replace(regexp_replace(coalesce(text, ''), '{TAG}', ' ', 'g'), '{ENTITY}', ' ', 'g')"
+_REASONS = ", ".join(f"case when {e} then '{r}' end" for r, e in RULES.items())
+_ROUNDED = ", ".join(f"round({s}, 6) as {s}" if s.endswith(("_share", "_ratio", "_length")) else s for s in STATS)
+P9_STATS = rf"""with b as (select doc_id, text, {_BODY} as body, (select list(distinct lower(word)) from common_words) as known from documents),
+l as (select *, list_filter(regexp_split_to_array(body, '[{_WS_DUCK}]+'), lambda x: x <> '') as tokens, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as words,
+ list_filter(list_transform(regexp_split_to_array(body, '{BREAK}'), lambda x: regexp_replace(x, '^{_EDGE}|{_EDGE}$', '', 'g')), lambda x: x <> '') as lines from b),
+s as (select doc_id, {", ".join(f"{e} as {n}" for n, e in _STATS.items())} from l)
+select doc_id, {_ROUNDED}, case when n_words > 0 then array_to_string(list_filter([{_REASONS}], lambda x: x is not null), '; ') else '' end as reasons from s"""

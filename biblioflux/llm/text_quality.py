@@ -1,14 +1,23 @@
-"""Per-document text statistics and the form they point to, by fixed thresholds with a reason per failed rule."""
+"""Per-document text statistics by Arrow kernels over whole batches, published fixed-threshold rules with a reason per failure, and the form of what fails.
+
+A document that keeps all published rules is prose. The rules don't name forms, so one that fails is looked at line by line: prose in
+hard-wrapped or unpunctuated lines stays prose, the rest is a list, a table or junk.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+
+from biblioflux.functions.text import WS, WS_CHARS
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _CELL = re.compile(r"</?t[dhr]\b", re.I)
@@ -29,12 +38,117 @@ _WIDE = re.compile(r"\S\s{2,}(?=\S)")
 _QUOTED = re.compile(r'"[^"]*"')
 _VOWELS = "aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûüýAEIOUYÁÀÂÄÅÆÉÈÊËÍÌÎÏÓÒÔÖØŒÚÙÛÜ"
 
+#: Statistics of every document.
 STATS = [
-    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "vowel_ratio", "end_punctuation_share", "bullet_share",
+    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "letter_word_share", "end_punctuation_share", "bullet_share",
+    "short_line_share", "repeated_line_share", "common_words", "common_share", "has_brace",
+    "reference_share", "has_cells",
+]
+#: What a line-by-line look at a document that fails a rule adds.
+LAYOUT = [
+    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "vowel_ratio",
     "common_share", "prose_share", "list_share", "table_share", "distinct_share", "repeat_share", "blob_share", "broken_share", "machine_share",
     "menu_share", "packed_ratio",
 ]
-KIND = StructType([StructField(s, LongType() if s.startswith("n_") else DoubleType()) for s in STATS])
+KIND = StructType([StructField(s, LongType() if s.startswith("n_") else DoubleType()) for s in LAYOUT])
+
+# Patterns of the statistics, for both SQL engines.
+TAG = r"</?[a-zA-Z][^<>]{0,200}>"
+ENTITY = r"&(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]+);"
+BREAK = r"[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]+"
+ENDING = r"(?:[.!?。…][)\]]*|[”’\x22\x27])$"
+BULLET = rf"^(?:[-–—*•·▪◦‣+o][{WS}]|[(]?[0-9]{{1,3}}[.)\]][{WS}]|\[[0-9]{{1,3}}\][{WS}]|[(]?[a-z]\)[{WS}])"
+REFERENCE = r"^[^\p{L}]{0,6}\p{L}[\p{L}’\x27-]+ \p{Lu}{1,3}[,.].*\b(?:19|20)[0-9][0-9]\b"
+CELL = r"(?i)<t[dh]\b"
+SHORT_LINE = 30
+
+
+def _per_text(lists: pa.ListArray, flags: np.ndarray) -> np.ndarray:
+    """Sums of a flag or number per element over each text's list."""
+    sums = np.concatenate([[0], np.cumsum(flags)])
+    ends = lists.offsets.to_numpy()
+    return sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]
+
+
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _distinct(owners: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """Number of distinct codes per text."""
+    pairs = np.unique(owners.astype(np.int64) << 32 | codes.astype(np.int64))
+    return np.bincount(pairs >> 32, minlength=n)
+
+
+def _flags(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def statistics(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
+    """STATS of many texts at once, by Arrow kernels over the whole batch; shares are of words or lines, and 0 (mean length too) where
+    there are none. Words are runs of characters other than white space, without markup; common words are runs of letters and digits in lower case."""
+    n = len(texts)
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    body = texts
+    marked = pc.match_substring_regex(texts, "[<&]")
+    if pc.any(marked).as_py():
+        plain = pc.replace_substring_regex(pc.replace_substring_regex(pc.filter(texts, marked), TAG, " "), ENTITY, " ")
+        body = pc.replace_with_mask(texts, marked, plain)
+    n_chars = pc.utf8_length(texts).to_numpy()
+
+    # blanks stay as they are, and empty pieces between them count for nothing
+    tokens = pc.split_pattern(pc.replace_substring_regex(body, rf"[{WS.replace(r'-\x20', r'-\x1f')}]+", " "), " ")
+    token = tokens.flatten()
+    size = pc.utf8_length(token).to_numpy()
+    n_words = _per_text(tokens, size > 0)
+    with_letter = _per_text(tokens, _flags(pc.match_substring_regex(token, r"\p{L}")))
+
+    words = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(body), r"[^\p{L}\p{N} ]+", " "), " ")
+    word = words.flatten()
+    code = pc.fill_null(pc.index_in(word, value_set=common.cast(pa.large_string())), -1).to_numpy()
+    hit = code >= 0
+    n_runs = _per_text(words, pc.utf8_length(word).to_numpy() > 0)
+
+    lines = pc.split_pattern(pc.replace_substring_regex(body, BREAK, "\n"), "\n")
+    line = pc.utf8_trim(lines.flatten(), characters=WS_CHARS)
+    length = pc.utf8_length(line).to_numpy()
+    there = length > 0
+    n_lines = _per_text(lines, there)
+    codes = line.dictionary_encode().indices.to_numpy()
+
+    def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.divide(part, whole, out=np.zeros(n), where=whole > 0)
+
+    def count(mark: str) -> np.ndarray:
+        return pc.count_substring(body, mark).to_numpy()
+
+    out = {
+        "n_chars": n_chars, "n_words": n_words, "n_lines": n_lines, "mean_word_length": share(_per_text(tokens, size), n_words),
+        "symbol_ratio": share(count("#") + count("…") + count("..."), n_words), "letter_word_share": share(with_letter, n_words),
+        "end_punctuation_share": share(_per_text(lines, _flags(pc.match_substring_regex(line, ENDING))), n_lines),
+        "bullet_share": share(_per_text(lines, _flags(pc.match_substring_regex(line, BULLET))), n_lines),
+        "short_line_share": share(_per_text(lines, there & (length < SHORT_LINE)), n_lines),
+        "repeated_line_share": share(n_lines - _distinct(_owners(lines)[there], codes[there], n), n_lines),
+        "common_words": _distinct(_owners(words)[hit], code[hit], n), "common_share": share(_per_text(words, hit), n_runs),
+        "has_brace": _flags(pc.match_substring(body, "{")), "reference_share": share(_per_text(lines, _flags(pc.match_substring_regex(line, REFERENCE))), n_lines),
+        "has_cells": _flags(pc.match_substring_regex(texts, CELL)),
+    }
+    return out
+
+
+_STATS = StructType([StructField(s, LongType() if s.startswith("n_") or s == "common_words" else BooleanType() if s.startswith("has_") else DoubleType()) for s in STATS])
+
+
+def with_statistics(df: DataFrame, text: str, common: list[str]) -> DataFrame:
+    """``df`` with the columns STATS; only the text passes through Arrow."""
+
+    def measure(texts: pa.Array) -> pa.Array:
+        got = statistics(texts, pa.array(common, pa.string()))
+        return pa.StructArray.from_arrays([pa.array(got[s]) for s in STATS], STATS)
+
+    udf = F.arrow_udf(measure, _STATS).asNondeterministic()
+    keep = [c for c in df.columns if c not in STATS]
+    return df.select(*keep, udf(text).alias("__stats")).select(*keep, "__stats.*")
 
 
 def _cells(line: str) -> int:
@@ -75,8 +189,8 @@ def _line_kind(line: str, words: list[str], known: int) -> str:
     return "prose" if known else "bare"
 
 
-def text_stats(text: str, common: frozenset[str]) -> tuple:
-    """The statistics of one whole text in the order of STATS; shares are of characters unless they count lines or words.
+def text_layout(text: str, common: frozenset[str]) -> tuple:
+    """What the lines of one whole text look like, in the order of LAYOUT; shares are of characters unless they count lines or words.
 
     The shares of repeats and menu entries are of texts with few common words and the shares of blobs of texts with very long
     words; elsewhere they are 0, and the ratio of
@@ -120,7 +234,6 @@ def text_stats(text: str, common: frozenset[str]) -> tuple:
     machine += len(_KEYED.findall(body)) * 4 if '"' in body or "{" in body or "null" in body else 0
     return (
         n_chars, n_words, len(lines), letters / max(1, n_words), max(0, n - letters - digits) / n, digits / n, sum(map(body.count, _VOWELS)) / max(1, letters),
-        sum(bool(_END.search(s.rstrip())) for s in lines) / max(1, len(lines)), kinds.count("bullet") / max(1, len(lines)),
         known / max(1, n_words), sizes.get("prose", 0) / total, (sizes.get("list", 0) + sizes.get("bullet", 0)) / total, sizes.get("table", 0) / total,
         len(set(tokens)) / max(1, len(tokens)), 1 - len(set(parts)) / max(1, len(parts)) if parts else 0.0, min(1.0, longest / n),
         0.0 if body.isascii() else len(_MOJI.findall(body)) / n, machine / n,
@@ -129,18 +242,27 @@ def text_stats(text: str, common: frozenset[str]) -> tuple:
     )
 
 
-# Published document filters (word count, word length, symbols, bullets, words with letters, stop words, closing punctuation).
+# Thresholds of published document filters. [G] Rae et al. 2021 (Gopher: quality and repetition), [C] Raffel et al. 2020 (C4; its
+# rule on closing punctuation with the 85 % that curation toolkits use), [F] Penedo et al. 2024 (FineWeb).
 RULES = {
-    "fewer than 50 words": "n_words < 50",
-    "more than 100000 words": "n_words > 100000",
-    "mean word length outside 3 to 10": "mean_word_length < 3 OR mean_word_length > 10",
-    "symbols above a tenth": "symbol_ratio > 0.1",
-    "bullets on more than 90 % of lines": "bullet_share > 0.9",
-    "fewer than 12 % of lines end in punctuation": "end_punctuation_share <= 0.12",
-    "fewer than 8 % common words": "common_share < 0.08",
-    "more than half of the tokens repeat": "distinct_share < 0.5",
+    "fewer than 50 words [G]": "n_words < 50",
+    "more than 100000 words [G]": "n_words > 100000",
+    "mean word length outside 3 to 10 [G]": "n_words > 0 AND (mean_word_length < 3 OR mean_word_length > 10)",
+    "symbols above a tenth of words [G]": "symbol_ratio > 0.1",
+    "fewer than 80 % of words have a letter [G]": "n_words > 0 AND letter_word_share < 0.8",
+    "fewer than two common words [G]": "common_words < 2",
+    "bullets on more than 90 % of lines [G]": "bullet_share > 0.9",
+    "more than 30 % of lines repeat [G]": "repeated_line_share > 0.3",
+    "more than 85 % of lines lack closing punctuation [C]": "end_punctuation_share < 0.15",
+    "a curly bracket [C]": "has_brace",
+    "two thirds of lines are short [F]": "n_lines > 0 AND short_line_share >= 0.67",
+    # two rules of our own, for lists and tables that are well punctuated: they are recorded like the others
+    "most lines are references [own]": "reference_share >= 0.5",
+    "table markup [own]": "has_cells",
 }
-#: What makes a text junk, whatever its lines look like.
+#: Rules on length alone, which are recorded but tell nothing about the form: a sentence is prose.
+OF_LENGTH = {"fewer than 50 words [G]", "more than 100000 words [G]"}
+#: Beyond the published rules: what makes a text that fails one of them junk rather than a list or a table.
 JUNK = {
     "no words": "n_words = 0 AND n_chars > 0",
     "blobs or sequences": "blob_share > 0.5",
@@ -161,36 +283,53 @@ def _reasons(rules: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.expr(e), F.lit(name)) for name, e in rules.items()]))
 
 
-def text_forms(df: DataFrame, text: str, words: DataFrame, word: str = "word") -> DataFrame:
-    """``df`` without ``text``, with the statistics of STATS, ``reasons`` (published rules that fail), ``junk_reasons`` and ``form``.
+#: Largest list of common words that is held by every task.
+MAX_WORDS = 10_000
 
-    ``form`` is prose, list, table or junk; for null and blank texts it is null and the statistics are 0. ``words`` is a reference
-    list of common words, which is collected: it may hold MAX_WORDS rows at most. Texts are read whole; columns of the names
-    added are replaced; an empty table gives an empty table.
-    """
+
+def common_words(words: DataFrame, word: str = "word") -> list[str]:
+    """The distinct words of a reference list in lower case, at most MAX_WORDS."""
     rows = words.select(F.lower(word).alias("w")).filter("w is not null").distinct().limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError(f"the list of common words has more than {MAX_WORDS} words")
-    common = frozenset(r["w"] for r in rows)
+    return sorted(r["w"] for r in rows)
 
-    def stats(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_stats(t or "", common) for t in texts], columns=STATS)
 
-    udf = F.pandas_udf(stats, KIND).asNondeterministic()
-    added = {*STATS, "reasons", "junk_reasons", "form"}
+def text_rules(df: DataFrame, text: str, words: DataFrame, word: str = "word") -> DataFrame:
+    """``df`` with STATS and ``reasons``, the published rules that the whole text fails; columns of these names are replaced. Null
+    and blank texts have no reasons. ``words`` is a reference list of common words (MAX_WORDS at most)."""
+    out = with_statistics(df.drop("reasons"), text, common_words(words, word))
+    return out.withColumn("reasons", F.when(F.col("n_words") > 0, _reasons(RULES)).otherwise(F.array().cast("array<string>")))
+
+
+def text_forms(df: DataFrame, text: str, words: DataFrame, word: str = "word") -> DataFrame:
+    """``df`` without ``text``, with STATS, ``reasons`` (published rules that fail), ``junk_reasons`` and ``form``.
+
+    ``form`` is prose, list, table or junk; for null and blank texts it is null. A text whose reasons are of length alone, or none, is
+    prose, and only the others are looked at line by line in Python. Texts are read whole; columns of the names added are replaced;
+    an empty table gives an empty table.
+    """
+    common = frozenset(common_words(words, word))
+    added = {*STATS, "reasons", "junk_reasons", "form", "layout"}
     keep = [c for c in df.columns if c != text and c not in added]
-    out = df.select(*keep, F.col(text).rlike(r"[^\s\p{Z}\p{Cf}]").alias("__any"), udf(text).alias("__s")).select(*keep, "__any", "__s.*")
-    out = out.withColumn("reasons", _reasons(RULES)).withColumn("junk_reasons", _reasons(JUNK))
+
+    def look(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_layout(t or "", common) for t in texts], columns=LAYOUT)
+
+    udf = F.pandas_udf(look, KIND).asNondeterministic()
+    ruled = text_rules(df.select(*keep, F.col(text).alias("__text")), "__text", words, word)
+    suspect = F.size(F.array_except("reasons", F.array(*[F.lit(r) for r in sorted(OF_LENGTH)]))) > 0
+    ruled = ruled.withColumn("__any", F.col("__text").rlike(r"[^\s\p{Z}\p{Cf}]")).withColumn("__suspect", suspect & F.coalesce("__any", F.lit(False)))
+    out = ruled.withColumn("layout", udf(F.when(F.col("__suspect"), F.col("__text"))))
+    junk = {name: re.sub(rf"\b({'|'.join(LAYOUT)})\b", r"layout.\1", e) for name, e in JUNK.items()}
+    out = out.withColumn("junk_reasons", F.when(F.col("__suspect"), _reasons(junk)).otherwise(F.array().cast("array<string>")))
     form = (
         F.when(~F.coalesce("__any", F.lit(False)), None)
+        .when(~F.col("__suspect"), "prose")
         .when(F.size("junk_reasons") > 0, "junk")
-        .when(F.expr("prose_share >= 0.5"), "prose")
-        .when(F.expr("table_share > 0 AND table_share >= list_share"), "table")
-        .when(F.expr("list_share > 0"), "list")
+        .when(F.expr("layout.prose_share >= 0.5"), "prose")
+        .when(F.expr("layout.table_share > 0 AND layout.table_share >= layout.list_share"), "table")
+        .when(F.expr("layout.list_share > 0"), "list")
         .otherwise("prose")
     )
-    return out.withColumn("form", form).drop("__any")
-
-
-#: Largest list of common words that is held by every task.
-MAX_WORDS = 100_000
+    return out.withColumn("form", form).select(*keep, *STATS, "reasons", "junk_reasons", "form")

@@ -212,10 +212,11 @@ def test_statistics_and_reasons(rows):
     df = rows([(1, "The cat.\n- the dog\n\nx 12%"), (2, None), (3, "word " * 30_000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in text_quality.text_forms(df, "text", words).collect()}
     one = got[1]
-    assert (one["n_words"], one["n_lines"]) == (5, 3)
-    assert one["common_share"] == pytest.approx(0.4) and one["end_punctuation_share"] == pytest.approx(1 / 3) and one["bullet_share"] == pytest.approx(1 / 3)
-    assert one["mean_word_length"] == pytest.approx(13 / 5) and one["digit_ratio"] == pytest.approx(2 / 18)
-    assert "fewer than 50 words" in one["reasons"] and "fewer than 50 words" not in got[3]["reasons"]
+    assert (one["n_words"], one["n_lines"]) == (7, 3)
+    assert one["common_share"] == pytest.approx(2 / 6) and one["end_punctuation_share"] == pytest.approx(1 / 3) and one["bullet_share"] == pytest.approx(1 / 3)
+    assert one["mean_word_length"] == pytest.approx(18 / 7) and one["letter_word_share"] == pytest.approx(5 / 7)
+    assert "fewer than 50 words [G]" in one["reasons"] and "fewer than 50 words [G]" not in got[3]["reasons"]
+    assert "fewer than 80 % of words have a letter [G]" in one["reasons"]
     assert got[2]["n_words"] == 0 and got[2]["form"] is None and got[3]["form"] == "junk"
     assert text_quality.text_forms(df.limit(0), "text", words).collect() == []
 
