@@ -11,6 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioflux.operators.skew import join_aggregate
+from biblioflux.session import checkpointed, written
+
 # Masks of token positions that count (1) and are ignored (0).
 MASKS = ("11011011", "111001011", "1100110101")
 #: Windows that count as an overlap: at most this share of changed words, at least this many words. Short windows must agree in full, as
@@ -19,10 +22,16 @@ LIMITS = ((0.0, 15), (0.10, 20), (0.12, 40))
 #: Where the overlap is the whole passage or the whole document, no pattern around it is left to explain it: this share of changed
 #: words from LEAST_WORDS on.
 WHOLE_SHARE = 0.10
+#: A shorter passage is no case in part, only as a whole; it has a seed of all its words besides.
 LEAST_WORDS = min(n for _, n in LIMITS)
 
-#: Test side up to this size is sent to every task; beyond it both sides are shuffled by hash.
-MAX_BROADCAST_BYTES = 64 << 20
+#: The filter of the test side's seeds has so many bits a seed at least, up to MAX_FILTER_BITS (128 MiB); a larger test side is searched
+#: in blocks of passages, each with a filter of its own, so that what a task holds never grows with the data.
+BITS_PER_SEED = 32
+MAX_FILTER_BITS = 1 << 30
+PROBES = 6
+#: Unit in which parts of a filter are merged.
+SEGMENT_BITS = 1 << 19
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
@@ -88,7 +97,7 @@ def overlap_many(line: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np
         valid = (f + i < z) & (at >= b) & (at < e)
         same = valid & (line[np.where(valid, at, 0)] == items[np.where(valid, f + i, 0)])
         beside = valid.sum(axis=1)
-        whole = (beside >= LEAST_WORDS) & ((beside == (z - f)[:, 0]) | (beside == (e - b)[:, 0]))
+        whole = (beside > 0) & ((beside == (z - f)[:, 0]) | (beside >= LEAST_WORDS) & (beside == (e - b)[:, 0]))
         out[s : s + step] = whole & (same.sum(axis=1) >= (1 - WHOLE_SHARE) * beside - 1e-9)
         # a window (i, j] fits if its agreed words less (1 - share) of its length aren't below 0; positions outside never agree
         agreed = np.concatenate([np.zeros((len(same), 1)), np.cumsum(same, axis=1)], axis=1)
@@ -107,110 +116,165 @@ def overlaps(doc: np.ndarray, item: np.ndarray, offset: int) -> bool:
     return bool(len(doc) and len(item) and overlap_many(doc, one[0], one[1], item, one[2], one[3], one[4])[0])
 
 
-def item_seeds(items: DataFrame, item_id: str, passage: str) -> DataFrame:
-    """(seed, item, at): the seeds of every passage."""
+def whole_seeds(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of n successive words at each position, for passages of n < LEAST_WORDS words."""
+    acc = np.full(max(0, len(h) - n + 1), 1000 + n, dtype=np.uint64)
+    for i in range(n):
+        acc = (acc ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return acc
+
+
+def _probe(seed: np.ndarray, k: int, bits: int) -> np.ndarray:
+    mixed = (seed ^ np.uint64(k * 0x51ED2701)) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ mixed >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def might_hold(filled: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Positions of the seeds that the filter may hold; every probe looks only at what the ones before left."""
+    at = np.arange(len(seed))
+    for k in range(PROBES):
+        spot = _probe(seed[at], k, len(filled) * 8)
+        at = at[filled[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1]
+    return at
+
+
+def item_words(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """(item, n, words): the word hashes of every passage that has words, as bytes."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
+        for pdf in batches:
+            own = [hashes.of(words_of(t)) for t in pdf[passage]]
+            out = pd.DataFrame({"item": pdf[item_id], "n": [len(w) for w in own], "words": [w.tobytes() for w in own]})
+            yield out[out["n"] > 0]
+
+    usable = items.select(item_id, passage).filter(F.col(item_id).isNotNull() & F.col(passage).isNotNull())
+    return usable.mapInPandas(make, "item long, n int, words binary")
+
+
+def item_seeds(words: DataFrame) -> DataFrame:
+    """(seed, item, at, whole): the seeds of every passage; ``whole`` marks the one of all words of a short passage."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
-            for i, text in zip(pdf[item_id], pdf[passage], strict=True):
-                for acc, _ in seeds(hashes.of(words_of(text or ""))):
-                    parts.append(pd.DataFrame({"seed": acc.astype(np.int64), "item": i, "at": np.arange(len(acc))}))
+            for i, w in zip(pdf["item"], pdf["words"], strict=True):
+                h = np.frombuffer(w, dtype=np.uint64)
+                found = [(acc, False) for acc, _ in seeds(h)] + ([(whole_seeds(h, len(h)), True)] if len(h) < LEAST_WORDS else [])
+                parts += [pd.DataFrame({"seed": acc.astype(np.int64), "item": i, "at": np.arange(len(acc)), "whole": whole}) for acc, whole in found]
             if parts:
                 yield pd.concat(parts)
 
-    return items.select(item_id, passage).mapInPandas(make, "seed long, item long, at long")
+    return words.mapInPandas(make, "seed long, item long, at long, whole boolean")
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def seed_filter(item_side: DataFrame, bits: int) -> np.ndarray:
+    """The filter of so many bits that holds the seeds of the test side. Tasks fill segments of it, equal segments are merged by OR, and
+    the driver puts together at most MAX_FILTER_BITS."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = pdf["seed"].to_numpy(dtype=np.int64).astype(np.uint64)
+            spots = np.unique(np.concatenate([_probe(own, k, bits) for k in range(PROBES)])) if len(own) else own
+            for segment in np.unique(spots // np.uint64(SEGMENT_BITS)):
+                local = (spots[spots // np.uint64(SEGMENT_BITS) == segment] % np.uint64(SEGMENT_BITS)).astype(np.int64)
+                flags = np.zeros(SEGMENT_BITS, dtype=np.uint8)
+                flags[local] = 1
+                yield pd.DataFrame({"segment": [int(segment)], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        together = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [together.tobytes()]})
+
+    shape = "segment long, bits binary"
+    filled = np.zeros(bits // 8, dtype=np.uint8)
+    for row in item_side.select("seed").mapInPandas(fill, shape).groupBy("segment").applyInPandas(merge, shape).collect():
+        filled[row["segment"] * SEGMENT_BITS // 8 : (row["segment"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return filled
+
+
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
     """(doc_id, item_id) of every document that contains a passage or enough of its successive words.
 
-    Both ids are longs; rows with a null id are left out; whole texts are read; null and empty texts have no leaks, and a passage of fewer words than LEAST_WORDS is
-    never found. Repeated documents count on their own; repeated item ids give one row. Test items up to ``max_bytes`` go to
-    every task; a larger test side is joined by hash in a shuffle, with the same result.
+    Both ids are longs; rows with a null id are left out; whole texts are read; null and empty texts have no leaks, and a passage of
+    fewer than LEAST_WORDS words is found where it stands as a whole. Repeated documents count on their own; repeated item ids give one
+    row. Documents are read once for each block of the test side and keep only the seeds that the block's filter may hold; these are
+    joined with the test side's seeds, two hits on a diagonal make a candidate, and candidates are verified on all words.
     """
-    small = items.select(item_id, passage).filter(F.col(item_id).isNotNull() & F.col(passage).isNotNull())
-    docs = docs.filter(F.col(doc_id).isNotNull())
-    # a seed takes 24 bytes, and a passage has no more words than characters
-    size = small.agg(F.sum(F.length(passage)).alias("n")).first()["n"] or 0
-    if size * (24 * len(MASKS) // 4 + 1) <= max_bytes:
-        return _leaks_by_broadcast(docs, doc_id, text, small, item_id, passage)
-    return _leaks_by_shuffle(docs, doc_id, text, small, item_id, passage)
-
-
-def _leaks_by_broadcast(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
-    hashes = Hashes()
-    texts = [(r[item_id], hashes.of(words_of(r[passage]))) for r in items.collect()]
-    found = [(acc.astype(np.int64), np.full(len(acc), k), np.arange(len(acc))) for k, (_, w) in enumerate(texts) for acc, _ in seeds(w)]
-    seed, item, at = (np.concatenate([f[c] for f in found]) if found else np.empty(0, dtype=np.int64) for c in range(3))
-    order = np.argsort(seed, kind="stable")
-    ends = np.cumsum([0, *(len(w) for _, w in texts)])
-    words = np.concatenate([w for _, w in texts]) if texts else np.empty(0, dtype=np.uint64)
-    ids = np.array([i for i, _ in texts], dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((seed[order], item[order], at[order], ids, words, ends))
+    words = checkpointed(item_words(items, item_id, passage))
+    total, lengths = words.agg(F.sum("n") * (len(MASKS) + 1), F.collect_set(F.when(F.col("n") < LEAST_WORDS, F.col("n")))).first()
+    blocks = max(1, -(-(total or 0) * BITS_PER_SEED // MAX_FILTER_BITS))
+    out = None
+    for block in range(blocks):
+        own = words.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else words
+        found = _block_leaks(docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()), doc_id, text, own, sorted(lengths), (total or 0) // blocks + 1)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("d").alias(doc_id), F.col("item").alias(item_id)).distinct()
+
+
+def _block_leaks(docs: DataFrame, doc_id: str, text: str, words: DataFrame, lengths: list[int], total: int) -> DataFrame:
+    bits = SEGMENT_BITS
+    while bits < min(total * BITS_PER_SEED, MAX_FILTER_BITS):
+        bits *= 2
+    item_side = checkpointed(item_seeds(words))
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(item_side, bits))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seed, item, at, ids, words, ends = shared.value
         hashes = Hashes()
-        gap = np.zeros(max(map(len, MASKS)), dtype=np.uint64)
+        gap = np.zeros(max([LEAST_WORDS, *map(len, MASKS)]), dtype=np.uint64)
 
-        def flush(docs: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
-            """Hits of many documents at once; their words stand in one row, with gaps that no seed of a passage matches."""
+        def flush(docs: list[int], parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            """Hits of many documents at once; their words stand in one row, with gaps between them."""
             line = np.concatenate([x for p in parts for x in (p, gap)])
             starts = np.cumsum([0, *(len(p) + len(gap) for p in parts)])
-            hits = []
-            for acc, _ in seeds(line):
-                s = acc.astype(np.int64)
-                lo = np.searchsorted(seed, s, "left")
-                where = np.flatnonzero((lo < len(seed)) & (seed[np.minimum(lo, len(seed) - 1)] == s)) if len(seed) else lo[:0]
-                n = np.searchsorted(seed, s[where], "right") - lo[where]
-                pos = np.repeat(where, n)
-                k = np.repeat(lo[where], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-                own = np.searchsorted(starts, pos, "right") - 1
-                hits.append(pd.DataFrame({"doc": own, "item": item[k], "offset": pos - starts[own] - at[k]}))
-            n = pd.concat(hits).groupby(["doc", "item", "offset"], sort=False).size() if hits else pd.Series(dtype=int)
-            n = n[n >= 2]
-            if n.empty:
-                return pd.DataFrame({"d": [], "i": []}).astype("int64")
-            d, i, o = (n.index.get_level_values(c).to_numpy(dtype=np.int64) for c in range(3))
-            sizes = np.array([len(p) for p in parts])
-            good = overlap_many(line, starts[d], starts[d] + sizes[d], words, ends[i], ends[i + 1], o)
-            return pd.DataFrame({"d": np.array(docs, dtype=np.int64)[d[good]], "i": ids[i[good]]}).drop_duplicates()
+            seed, at, alone = [], [], []
+            for acc, short in [*((acc, False) for acc, _ in seeds(line)), *((whole_seeds(line, n), True) for n in lengths)]:
+                where = might_hold(shared.value, acc)
+                seed, at, alone = [*seed, acc[where]], [*at, where], [*alone, np.full(len(where), short)]
+            seed, at, alone = (np.concatenate(x) for x in (seed, at, alone))
+            own = np.searchsorted(starts, at, "right") - 1
+            # one hit is enough only for a short passage as a whole
+            hits = np.bincount(own, minlength=len(parts)) + np.bincount(own, weights=alone, minlength=len(parts))
+            keep = np.flatnonzero(hits >= 2)
+            if not len(keep):
+                return
+            order = np.argsort(own, kind="stable")
+            first, last = np.searchsorted(own[order], keep, "left"), np.searchsorted(own[order], keep, "right")
+            rows = [order[a:b] for a, b in zip(first, last, strict=True)]
+            yield pd.DataFrame({
+                "d": [docs[k] for k in keep], "key": [xxhash.xxh64_intdigest(parts[k].tobytes()) - (1 << 63) for k in keep], "words": [parts[k].tobytes() for k in keep],
+                "seeds": [seed[r].astype(np.int64) for r in rows], "ats": [at[r] - starts[k] for k, r in zip(keep, rows, strict=True)],
+            })
 
         for pdf in batches:
             own, parts, n = [], [], 0
             for i, t in zip(pdf[doc_id], pdf[text], strict=True):
-                if t:
-                    own.append(i)
-                    parts.append(hashes.of(words_of(t)))
-                    n += len(parts[-1])
+                own.append(i)
+                parts.append(hashes.of(words_of(t)))
+                n += len(parts[-1])
                 if n > 500_000:
-                    yield flush(own, parts)
+                    yield from flush(own, parts)
                     own, parts, n = [], [], 0
             if parts:
-                yield flush(own, parts)
-
-    found = docs.select(doc_id, text).mapInPandas(search, "d long, i long")
-    return found.select(F.col("d").alias(doc_id), F.col("i").alias(item_id)).distinct()
-
-
-def _leaks_by_shuffle(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
-    # documents are told apart by a row key, so that repeated ids stay separate until the end
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter("t is not null")
-    own = item_seeds(rows, "d", "t").withColumnsRenamed({"item": "d", "at": "doc_at"})
-    hits = own.join(item_seeds(items, item_id, passage), "seed").groupBy("d", "item", (F.col("doc_at") - F.col("at")).alias("offset")).count().filter("count >= 2")
-    wanted = hits.groupBy("d", "item").agg(F.collect_set("offset").alias("offsets"))
-    both = wanted.join(rows, "d").join(items.select(F.col(item_id).alias("item"), F.col(passage).alias("p")), "item")
+                yield from flush(own, parts)
+
+    hit = docs.select(doc_id, text).mapInPandas(search, "d long, key long, words binary, seeds array<long>, ats array<long>")
+    hit = written(hit)
+    places = hit.select("d", "key", F.inline(F.arrays_zip("seeds", "ats"))).withColumnsRenamed({"seeds": "seed", "ats": "doc_at"})
+    # a seed of stock wording can stand in very many documents: join_aggregate splits it
+    asked = places.groupBy("seed").agg(F.count("*").alias("n"))
+    met = checkpointed(item_side.join(asked, "seed"))
+    offsets = join_aggregate(places, met, ["seed"], "n").groupBy("d", "key", "item", (F.col("doc_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("hits"), F.max("whole").alias("whole"))
+    wanted = offsets.filter("hits >= 2 OR whole").groupBy("d", "key", "item").agg(F.collect_set("offset").alias("offsets"))
+    wanted = checkpointed(wanted)
+    passages = words.withColumnRenamed("words", "passage").join(wanted.groupBy("item").agg(F.count("*").alias("times")), "item").select("item", "passage", "times")
+    candidates = join_aggregate(wanted, checkpointed(passages.dropDuplicates()), ["item"], "times")
+    both = candidates.join(hit.select("d", "key", "words").dropDuplicates(["d", "key"]), ["d", "key"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         for pdf in batches:
-            keep = []
-            for t, p, offsets in zip(pdf["t"], pdf["p"], pdf["offsets"], strict=True):
-                h, w = hashes.of(words_of(t)), hashes.of(words_of(p))
-                keep.append(any(overlaps(h, w, int(o)) for o in offsets))
+            keep = [any(overlaps(np.frombuffer(w, dtype=np.uint64), np.frombuffer(p, dtype=np.uint64), int(o)) for o in offsets) for w, p, offsets in zip(pdf["words"], pdf["passage"], pdf["offsets"], strict=True)]
             yield pdf.loc[keep, ["d", "item"]]
 
-    found = both.mapInPandas(verify, "d long, item long")
-    return found.select(F.col("d").alias(doc_id), F.col("item").alias(item_id)).distinct()
+    return both.select("d", "item", "words", "passage", "offsets").mapInPandas(verify, "d long, item long")

@@ -148,8 +148,9 @@ def test_overlaps_against_brute_force():
 PASSAGE = "In the held-out arm four readers matched 585,065 captions of naïve T cells to screens and half of them named the marker without any help from the model"
 
 
-@pytest.mark.parametrize("path", ["broadcast", "shuffle"])
-def test_leaks_in_every_disguise(rows, path):
+@pytest.mark.parametrize("bits", [1 << 30, 1 << 11])
+def test_leaks_in_every_disguise(rows, monkeypatch, bits):
+    monkeypatch.setattr(leakage, "MAX_FILTER_BITS", bits)  # the lower one makes several blocks
     words = PASSAGE.split()
     hidden = [
         PASSAGE, PASSAGE.upper(), "Before. " + " ".join(words[3:20]) + " after", PASSAGE.replace(" ", "\n"), PASSAGE.replace("captions", "cap-\ntions").replace("readers", "<b>readers</b>").replace("screens", "screens [12]"),
@@ -158,23 +159,39 @@ def test_leaks_in_every_disguise(rows, path):
     clean = ["Nothing here", " ".join(words[:12]), " ".join(words[:10]) + " and other " + " ".join(words[14:22]), None, "", "stock wording of the prompt " * 20, "x " * 40_000]
     docs = rows([(k, t, 1) for k, t in enumerate(hidden + clean)] + [(0, PASSAGE, 1), (None, PASSAGE, 1)], "doc_id long, text string, item_id int")
     items = rows([(7, PASSAGE, "p"), (8, "too short", "p"), (9, None, "p"), (7, PASSAGE, "p"), (None, PASSAGE, "p")], "item_id long, passage string, doc_id string")
-    got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage", **({} if path == "broadcast" else {"max_bytes": 0})).collect()
+    got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage").collect()
     assert sorted(tuple(r) for r in got) == [(k, 7) for k in range(len(hidden))]
     assert leakage.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "passage").collect() == []
     assert leakage.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "passage").collect() == []
 
 
-@pytest.mark.parametrize("path", ["broadcast", "shuffle"])
-def test_short_wholes_with_a_changed_word(rows, path):
+def test_short_wholes_with_a_changed_word(rows):
     words = PASSAGE.split()
     part, short = " ".join([*words[4:11], "changed", *words[12:19]]), " ".join(words[:16])
     docs = rows([(1, part), (2, "before " + part + " after"), (3, "before " + short.replace("readers", "raters") + " after"), (4, short.replace("four readers", "six raters"))], "doc_id long, text string")
     items = rows([(7, PASSAGE), (8, short)], "item_id long, passage string")
-    got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage", **({} if path == "broadcast" else {"max_bytes": 0})).collect()
+    got = leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage").collect()
     # a whole document of 15 words, a whole passage of 16; a part inside a longer text, or two changed words of 16, aren't enough
     assert sorted(tuple(r) for r in got) == [(1, 7), (3, 8)]
 
 
+def test_passages_of_few_words_are_found_whole(rows):
+    words = PASSAGE.split()
+    docs = rows([(k, f"some text before {' '.join(words[:n])} and behind it", "x") for k, n in enumerate((1, 5, 8, 11, 14))] + [(9, "Unrelated words only", "x")], "doc_id long, text string, item string")
+    items = rows([(n, " ".join(words[:n])) for n in (5, 8, 11)] + [(30, "a b"), (31, "."), (32, "")], "item_id long, passage string")
+    got = sorted(tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage").collect())
+    assert got == [(1, 5), (2, 5), (2, 8), (3, 5), (3, 8), (3, 11), (4, 5), (4, 8), (4, 11)]
+
+
+def test_a_filter_holds_all_its_seeds(spark):
+    rng = np.random.default_rng(1)
+    seed = rng.integers(-(1 << 63), (1 << 63) - 1, 40_000)
+    df = spark.createDataFrame([(int(x),) for x in seed[:20_000]], "seed long")
+    filled = leakage.seed_filter(df, 1 << 20)
+    hits = leakage.might_hold(filled, seed.astype(np.uint64))
+    assert set(range(20_000)) <= set(hits.tolist()) and len(hits) < 20_100
+
+
 def test_seeds_ignore_masked_positions():
     hashes = leakage.Hashes()
     a, b = (hashes.of(s.split()) for s in ("a b c d e f g h", "a b X d e X g h"))
