@@ -273,8 +273,24 @@ def _block_leaks(docs: DataFrame, doc_id: str, text: str, words: DataFrame, leng
     both = candidates.join(hit.select("d", "key", "words").dropDuplicates(["d", "key"]), ["d", "key"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Distinct values in one row, and where each of the given values begins and ends in it."""
+            known: dict[bytes, int] = {}
+            which = np.array([known.setdefault(v, len(known)) for v in values])
+            parts = [np.frombuffer(v, dtype=np.uint64) for v in known]
+            ends = np.cumsum([0, *map(len, parts)])
+            return np.concatenate(parts), ends[which], ends[which + 1]
+
         for pdf in batches:
-            keep = [any(overlaps(np.frombuffer(w, dtype=np.uint64), np.frombuffer(p, dtype=np.uint64), int(o)) for o in offsets) for w, p, offsets in zip(pdf["words"], pdf["passage"], pdf["offsets"], strict=True)]
-            yield pdf.loc[keep, ["d", "item"]]
+            # rows are handled in runs whose documents have a bounded number of words together
+            sizes = pdf["words"].map(len).to_numpy() // 8
+            runs = np.cumsum(sizes) // 2_000_000
+            for _, part in pdf.groupby(runs, sort=False):
+                line, begin, end = row(part["words"].tolist())
+                items, first, last = row(part["passage"].tolist())
+                n = part["offsets"].map(len).to_numpy()
+                own = np.repeat(np.arange(len(part)), n)
+                good = overlap_many(line, begin[own], end[own], items, first[own], last[own], np.concatenate(part["offsets"].tolist()))
+                yield part.loc[np.isin(np.arange(len(part)), own[good]), ["d", "item"]]
 
     return both.select("d", "item", "words", "passage", "offsets").mapInPandas(verify, "d long, item long")
