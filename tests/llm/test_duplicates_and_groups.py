@@ -37,21 +37,25 @@ def test_copies_against_brute_force_with_a_hot_group(spark, monkeypatch):
     assert len(collapsed) == len(set(keys)) and sum(r["n_copies"] for r in collapsed) == len(keys)
 
 
-def test_filter_never_misses_a_repeat(spark):
-    rng = np.random.default_rng(5)
-    hashes = rng.integers(-(2**63), 2**63 - 1, 20_000)
-    twice = np.concatenate([hashes, hashes[:2000]])
-    bits = format_duplicates.filter_bits(len(twice))
-    df = spark.createDataFrame([(int(h),) for h in twice], "h long").repartition(5)
-    packed = format_duplicates.repeat_filter(df, "h", bits)
-    flags = np.unpackbits(packed).astype(bool)
-    hit = flags[format_duplicates.positions(hashes, bits).astype(np.int64)].all(axis=1)
-    assert hit[:2000].all() and hit[2000:].mean() < 0.05
-
-
-def test_filter_is_bounded():
-    assert format_duplicates.filter_bits(0) == format_duplicates.SEGMENT_BITS
-    assert format_duplicates.filter_bits(10**12) == format_duplicates.MAX_FILTER_BYTES * 8
+@pytest.mark.parametrize("size", [2_000, 8_000, 32_000])
+def test_filters_by_range_let_few_singletons_through_at_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(format_duplicates, "ROWS_PER_RANGE", 2000)
+    monkeypatch.setattr(format_duplicates, "SEGMENT_BITS", 1 << 12)
+    df = spark.range(size).select("id", F.concat(F.lit("k"), F.when(F.col("id") % 10 == 0, F.col("id") - F.col("id") % 20).otherwise(F.col("id"))).alias("key"), F.lit(1).alias("hash_range"))
+    got = {r["id"]: r["__again"] for r in format_duplicates.marked_rows(df.repartition(5), "id", F.col("key")).collect()}
+    assert len(got) == size and all(got[k] for k in range(0, size, 10))
+    single = [again for k, again in got.items() if k % 10]
+    assert sum(single) / len(single) < 0.01
+
+
+def test_filter_bits_are_in_proportion():
+    assert [format_duplicates.filter_bits(n) for n in (0, 256, 257, 1 << 25)] == [1 << 12, 1 << 12, 1 << 13, 1 << 29]
+
+
+def test_positions_are_listed_or_packed():
+    few, many = np.array([3, 900]), np.arange(0, 4096, 3)
+    for at in (few, many, few[:0]):
+        assert np.array_equal(format_duplicates._decode(format_duplicates._encode(at, 4096)), at)
 
 
 def test_no_rows(rows):
