@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from biblioflux.session import checkpointed
 
-#: Ranks of a public byte-level tokenizer; every executor reads the file from this path.
+#: Ranks of a public byte-level tokenizer; the driver reads the file from this path and sends it to the tasks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How that tokenizer cuts text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -24,12 +24,13 @@ FULL = 0.995
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of every row with an id; 0 for null and empty texts. Texts are counted whole."""
+    with open(tokenizer, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("pack", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             yield pd.DataFrame({"d": pdf[doc_id], "n": [len(encoding.encode_ordinary(t)) if t else 0 for t in pdf[text]]}).astype({"n": "int64"})
@@ -95,13 +96,14 @@ def _packer(round_: int, last: bool):
     """Packs the items of one shard; packs below FULL aren't final before the last round."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
+        # in a fixed order, so that a task that runs again gives the same packs
+        pdf = pdf.sort_values(["n", "k", "piece"], ignore_index=True)
         cap = int(pdf["cap"].iloc[0])
         numbers = pd.Series(pack(pdf["n"].tolist(), cap))
         fill = pdf["n"].groupby(numbers).transform("sum")
         pdf["pack_id"] = f"{round_}-" + pdf["shard"].astype(str) + "-" + numbers.astype(str)
         pdf["final"] = last | (fill >= FULL * cap)
-        return pdf[["c", "cap", "d", "piece", "n", "pack_id", "final"]]
+        return pdf[["c", "cap", "d", "piece", "n", "k", "pack_id", "final"]]
 
     return one
 
@@ -117,32 +119,31 @@ def pack_documents(sizes: DataFrame, doc_id: str, n_tokens: str, capacities: Dat
     rows = sizes.select(F.col(doc_id).alias("d"), F.col(n_tokens).alias("n")).filter("d is not null and n > 0")
     caps = capacities.select(F.col(capacity_id).alias("c"), F.col(capacity).alias("cap")).filter("cap > 0").distinct()
     # a stated set of capacities against all rows: each document is packed once for every capacity
-    each = rows.join(F.broadcast(caps)) if caps.count() <= 1000 else rows.crossJoin(caps)
+    each = rows.crossJoin(caps)
     pieces = F.floor((F.col("n") - 1) / F.col("cap"))
     each = each.withColumn("whole", pieces)
-    alone = each.filter("whole > 0").select("c", "d", "cap", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))).alias("piece"))
-    alone = alone.select("c", F.concat_ws("-", F.lit("f"), "d", "piece", F.uuid()).alias("pack_id"), "d", "piece", F.col("cap").alias("n"))
-    items = each.select("c", "cap", "d", (F.col("whole") + 1).alias("piece"), (F.col("n") - F.col("whole") * F.col("cap")).alias("n"))
+    alone = each.filter("whole > 0").select("c", "d", "cap", "n", "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))).alias("piece"))
+    alone = alone.select("c", F.concat_ws("-", F.lit("f"), "d", "n", "copy", "piece").alias("pack_id"), "d", "piece", F.col("cap").alias("n"))
+    items = each.select("c", "cap", "d", (F.col("whole") + 1).alias("piece"), (F.col("n") - F.col("whole") * F.col("cap")).alias("n"), "k")
     items = checkpointed(items)
-    total = rows.count()
+    total = copies.agg(F.sum("m")).first()[0] or 0
 
     kind = dict(sizes.dtypes)[doc_id]
-    shape = f"c {dict(capacities.dtypes)[capacity_id]}, cap long, d {kind}, piece long, n long, pack_id string, final boolean"
-    done, round_ = [alone], 0
+    shape = f"c {dict(capacities.dtypes)[capacity_id]}, cap long, d {kind}, piece long, n long, k long, pack_id string, final boolean"
+    done, round_, before = [alone], 0, None
     while True:
         shards = max(1, -(-total // shard))
-        last = shards == 1 or round_ == 3
-
-        packed = items.withColumn("cap", F.col("cap").cast("long")).withColumn("shard", F.pmod(F.xxhash64("c", "d", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+        last = shards == 1 or before is not None and 2 * shards > before
+        packed = items.withColumn("cap", F.col("cap").cast("long")).withColumn("shard", F.pmod(F.xxhash64("c", "k", "piece", F.lit(round_)), F.lit(shards)))
         packed = checkpointed(packed.groupBy("c", "shard").applyInPandas(_packer(round_, last), shape))
         done.append(packed.filter("final").select("c", "pack_id", "d", "piece", "n"))
         if last:
             break
-        items = packed.filter("not final").select("c", "cap", "d", "piece", "n")
+        items = packed.filter("not final").select("c", "cap", "d", "piece", "n", "k")
         most = items.groupBy("c").count().agg(F.max("count")).first()[0]
         if not most:
             break
-        total, round_ = min(most, total), round_ + 1
+        total, round_, before = min(most, total), round_ + 1, shards
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

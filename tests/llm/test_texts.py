@@ -248,3 +248,16 @@ def test_suspect_pattern_covers_all_members(rows):
     members = lookalikes.INVISIBLE + lookalikes.SPACES + lookalikes.WIDE + list(lookalikes.POSING)
     df = rows([(m,) for m in members], "m string").filter(~F.col("m").rlike(lookalikes.SUSPECT))
     assert df.collect() == []
+
+
+def test_packs_are_the_same_on_every_run(rows):
+    data = [(k % 300, 1 + k * 7919 % 900) for k in range(600)] + [(5, 40), (5, 40)]
+    caps = rows([(1, 256), (2, 100)], "c long, cap long")
+
+    def packs(parts):
+        df = rows(data, "d long, n long").repartition(parts)
+        return sorted(tuple(r) for r in packing.pack_documents(df, "d", "n", caps, "c", "cap", shard=64).collect())
+
+    first = packs(3)
+    assert first == packs(7)
+    assert sum(r[4] for r in first if r[0] == 1) == sum(n for _, n in data)
