@@ -113,10 +113,13 @@ def pack_documents(sizes: DataFrame, doc_id: str, n_tokens: str, capacities: Dat
 
     Piece numbers count from 1; all pieces but the last fill a pack alone, and the last is packed like a document of its length.
     Documents without tokens, with a null id or size, and capacities below 1 give no rows; a repeated doc_id is packed once for
-    each of its rows. Items are spread by a hash of their row over shards of about ``shard`` items, each packed in one task; the items of packs
-    that stay below FULL meet again in fewer shards, until one shard is left or nothing can be gained.
+    each of its rows. Items are spread by a hash of their row over shards of about ``shard`` items, each packed in one task; the items of
+    packs that stay below FULL meet again in fewer shards, until one shard is left or a round has left more than half of its shards'
+    items over. The same rows always give the same packs.
     """
-    rows = sizes.select(F.col(doc_id).alias("d"), F.col(n_tokens).alias("n")).filter("d is not null and n > 0")
+    copies = sizes.select(F.col(doc_id).alias("d"), F.col(n_tokens).alias("n")).filter("d is not null and n > 0").groupBy("d", "n").agg(F.count("*").alias("m"))
+    # k tells repeated rows apart
+    rows = copies.select("d", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("copy")).withColumn("k", F.xxhash64("d", "n", "copy"))
     caps = capacities.select(F.col(capacity_id).alias("c"), F.col(capacity).alias("cap")).filter("cap > 0").distinct()
     # a stated set of capacities against all rows: each document is packed once for every capacity
     each = rows.crossJoin(caps)
