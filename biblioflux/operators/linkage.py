@@ -23,39 +23,39 @@ def db_rank(c: Column) -> Column:
 
 
 def in_order(records: DataFrame) -> DataFrame:
-    """Records with ``ord``, their position by database order and record_id; a row delivered twice has two positions."""
-    return with_positions(records.withColumn("db_rank", db_rank(F.col("source_db"))), ["db_rank", "record_id"], "ord").drop("db_rank")
+    """Records with ``ord``, their position by database order and record_id; a row delivered twice has two positions, and rows of one
+    id that differ in their keys stand in a fixed order."""
+    placed = records.withColumns({"db_rank": db_rank(F.col("source_db")), "__tie": F.xxhash64(*[c for c, _ in KEYS])})
+    return with_positions(placed, ["db_rank", "record_id", "__tie"], "ord").drop("db_rank", "__tie")
 
 
 def link(records: DataFrame) -> DataFrame:
     """(ord, root, reason, cluster_id) for records with a total order ``ord``.
 
     A record joins the cluster of the earliest record that holds its first key with an earlier holder, in the priority of KEYS;
-    clusters never merge later. ``root`` is the founder's ord, ``cluster_id`` the 0-based rank of the founder, ``reason`` names
+    clusters never merge later. ``records`` are read several times and should be kept, as in_order keeps them. ``root`` is the founder's ord, ``cluster_id`` the 0-based rank of the founder, ``reason`` names
     the deciding key. Null and empty keys match nothing; an empty table gives an empty table.
     """
     entries = [
         F.when(F.col(c) != "", F.struct(F.lit(k).alias("kind"), F.col(c).alias("key"), (F.concat(F.lit(text), F.col(c)) if k < 3 else F.lit(text)).alias("why")))
         for k, (c, text) in enumerate(KEYS)
     ]
-    keys = checkpointed(records.select("ord", F.explode(F.array_compact(F.array(*entries))).alias("k")).select("ord", "k.*"))
-    first = checkpointed(keys.groupBy("kind", "key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    earlier = join_aggregate(keys, first, ["kind", "key"], "n").filter("first < ord")
+    keys = records.select("ord", F.explode(F.array_compact(F.array(*entries))).alias("k")).select("ord", "k.*")
+    # in these joins one side has a single row per key, and the rows of a hot key on the other are split by the adaptive skew join
+    first = keys.groupBy("kind", "key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    earlier = keys.join(first, ["kind", "key"]).filter("first < ord")
     best = earlier.groupBy("ord").agg(F.min_by(F.struct("first", "why"), "kind").alias("b")).select("ord", "b.first", "b.why")
     now = records.select("ord").join(best, "ord", "left")
     now = checkpointed(now.select("ord", F.coalesce("first", "ord").alias("root"), F.coalesce("why", F.lit("No match found")).alias("reason")))
     while True:
-        hubs = now.filter("root <> ord").groupBy(F.col("root").alias("hub")).agg(F.count("*").alias("n"))
-        ups = hubs.join(now.filter("root <> ord").select(F.col("ord").alias("hub"), F.col("root").alias("up")), "hub")
-        ups = checkpointed(ups)
-        most = ups.agg(F.max("n")).first()[0]
-        if not most:
+        ups = now.filter("root <> ord").select(F.col("ord").alias("hub"), F.col("root").alias("up"))
+        now = checkpointed(now.join(ups, F.col("root") == F.col("hub"), "left").select("ord", F.coalesce("up", "root").alias("root"), "reason", F.col("up").isNotNull().alias("moved")))
+        settled = now.filter("moved").isEmpty()
+        now = now.drop("moved")
+        if settled:
             break
-        moved = join_aggregate(now.filter("root <> ord").withColumnRenamed("root", "hub"), ups, ["hub"], "n", most=most).select("ord", "up")
-        now = checkpointed(now.join(moved, "ord", "left").select("ord", F.coalesce("up", "root").alias("root"), "reason"))
-    ids = with_positions(now.filter("root = ord").select(F.col("ord").alias("founder")), ["founder"], "cluster_id")
-    sizes = now.groupBy("root").agg(F.count("*").alias("n")).join(ids, F.col("root") == F.col("founder")).select("root", "n", "cluster_id")
-    return join_aggregate(now, checkpointed(sizes), ["root"], "n").select("ord", "root", "reason", "cluster_id")
+    ids = with_positions(now.filter("root = ord").select(F.col("ord").alias("root")), ["root"], "cluster_id")
+    return now.join(ids, "root").select("ord", "root", "reason", "cluster_id")
 
 
 def decision_log(records: DataFrame, links: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def survivors(clustered: DataFrame) -> DataFrame:
     has = F.coalesce(F.col("doi_normalized") != "", F.lit(False))
     length = F.length(F.coalesce("abstract", F.lit("")))
     order = F.struct(F.when(has & ~pre, 1).otherwise(2), F.when(has, 1).otherwise(2), priority(F.col("source_db")), -length, F.col("ord"))
-    best = F.struct("title_original", "title_normalized", "abstract", "authors", "year", "venue", "date", "url")
+    best = F.struct("title_original", "title_normalized", "authors", "year", "venue", "date", "url")
     doi = _present("doi_original")
     raw_pre = is_preprint_doi(normalize_doi(doi))
     out = clustered.groupBy("cluster_id").agg(

@@ -57,7 +57,7 @@ FACET_FIELDS = {"cat": "category", "src": "source", "lang": "language", "languag
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<range>[A-Za-z_]+:\[\s*\S+\s+TO\s+\S+\s*\])|(?P<date>date(?:from|to):\S+)|(?P<year>PUBYEAR\s*[<>=]+\s*\d{4})
-    |(?P<func>[A-Z][A-Z-]+\()|(?P<quoted>(?:[A-Za-z_]+:)?"[^"]*"(?:\[[^\]]*\])?)|(?P<paren>[()])|(?P<op>[+|](?=[\s("\w])|-(?=[("]|\w)(?<![\w]-))
+    |(?P<func>(?!(?:AND|OR|NOT|ANDNOT)\()[A-Z][A-Z-]+\()|(?P<quoted>(?:[A-Za-z_]+:)?"[^"]*"(?:\[[^\]]*\])?)|(?P<paren>[()])|(?P<op>[+|](?=[\s("\w])|-(?=[("]|\w)(?<![\w]-))
     |(?P<colon>:)|(?P<word>[^\s()"|+\[\]]+(?:\[[^\]]*\])?))""",
     re.X,
 )
@@ -129,7 +129,10 @@ class _Parser:
         if kind == "year":
             sign, value = re.fullmatch(r"PUBYEAR\s*([<>=]+)\s*(\d{4})", s).groups()
             y = int(value)
-            return {">": Range("year", str(y + 1), "9999"), "<": Range("year", "0000", str(y - 1)), "=": Range("year", value, value)}[sign]
+            spans = {">": (str(y + 1), "9999"), ">=": (value, "9999"), "<": ("0000", str(y - 1)), "<=": ("0000", value), "=": (value, value)}
+            if sign not in spans:
+                raise ValueError(f"unknown comparison {sign}")
+            return Range("year", *spans[sign])
         if kind in ("quoted", "word"):
             return self.leaf(s)
         raise ValueError(f"unexpected {s!r}")
@@ -143,6 +146,10 @@ class _Parser:
             value = self.next()[1].strip('"')
             self.close()
             return Facet(FACET_FIELDS[name.lower()], value)
+        if name == "LIMIT-TO":
+            field, value = self.next()[1].rstrip(","), self.next()[1].strip(',"')
+            self.close()
+            return Facet(field.lower(), value)
         inner = self.either()
         self.close()
         fields = {"TITLE-ABS-KEY": ("title", "abstract", "keywords"), "TITLE": ("title",), "ABS": ("abstract",)}.get(name)
@@ -207,24 +214,30 @@ def term_pattern(text: str) -> str:
     return r"(?iu)(?<![\p{L}\p{N}])" + r"[\s\-]+".join(words) + ("" if open_end else r"(?![\p{L}\p{N}])")
 
 
-def compile_query(tree, columns: dict[str, Column], default: tuple[str, ...] = ("title", "abstract")) -> Column:
-    """A boolean Column for a tree. ``columns`` maps field names to columns; fields without one match nothing as text, and facets
-    and ranges without one hold for every row (the provider is taken to have applied them). Null text matches nothing."""
+def _compile(tree, columns: dict[str, Column], default: tuple[str, ...]) -> Column:
+    """Like compile_query, but null where the answer hangs on facets and ranges that have no column."""
+    unknown = F.lit(None).cast("boolean")
     if isinstance(tree, Term):
         hits = [F.coalesce(columns[f].rlike(term_pattern(tree.text)), F.lit(False)) for f in (tree.fields or default) if f in columns]
         return reduce(lambda a, b: a | b, hits, F.lit(False))
     if isinstance(tree, Range):
         if tree.field not in columns:
-            return F.lit(True)
+            return unknown
         c = columns[tree.field].cast("string")
         return F.coalesce((c >= tree.low) & (F.left(c, F.lit(len(tree.high))) <= tree.high), F.lit(False))
     if isinstance(tree, Facet):
-        return F.coalesce(F.lower(columns[tree.field]) == tree.value.lower(), F.lit(False)) if tree.field in columns else F.lit(True)
+        return F.coalesce(F.lower(columns[tree.field]) == tree.value.lower(), F.lit(False)) if tree.field in columns else unknown
     if isinstance(tree, Not):
-        return ~compile_query(tree.item, columns, default)
-    parts = [compile_query(x, columns, default) for x in tree.items]
+        return ~_compile(tree.item, columns, default)
+    parts = [_compile(x, columns, default) for x in tree.items]
     return reduce(lambda a, b: a & b, parts) if isinstance(tree, And) else reduce(lambda a, b: a | b, parts)
 
 
+def compile_query(tree, columns: dict[str, Column], default: tuple[str, ...] = ("title", "abstract")) -> Column:
+    """A boolean Column for a tree. ``columns`` maps field names to columns; fields without one match nothing as text, and what a facet
+    or range without one would decide, under NOT too, is taken to hold (the provider has applied it). Null text matches nothing."""
+    return F.coalesce(_compile(tree, columns, default), F.lit(True))
+
+
 def search(query: str, dialect: str, columns: dict[str, Column], default: tuple[str, ...] = ("title", "abstract")) -> Column:
     return compile_query(parse(query, dialect), columns, default)

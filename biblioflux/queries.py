@@ -103,13 +103,14 @@ ids as (select ord as root, row_number() over (order by ord) - 1 as cluster_id f
 linked as (select p.*, r.root, i.cluster_id from parents p join trees r using (ord) join ids i using (root)) """
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = linkage.in_order(table(spark, sf_dir, "unified_records"))
-    return records, checkpointed(linkage.link(records))
+def _linked(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Records in order with their keys and the columns ``more``, and their links: what is put in order and kept is no wider than asked."""
+    records = linkage.in_order(table(spark, sf_dir, "unified_records").select("record_id", "source_db", *(c for c, _ in linkage.KEYS), *more))
+    return records, linkage.link(records)
 
 
-def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, links = _linked(spark, sf_dir)
+def _clustered(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    records, links = _linked(spark, sf_dir, *more)
     return records.join(links, "ord")
 
 
@@ -122,7 +123,8 @@ def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
  left(l.title_original, 100) as title, l.doi_original as doi, case when l.root <> l.ord then f.source_db else '' end as matched_with_db,
  case when l.root <> l.ord then left(f.title_original, 100) else '' end as matched_with_title from linked l join linked f on f.ord = l.root""")
 def dedup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.decision_log(*_linked(spark, sf_dir))
+    records, links = _linked(spark, sf_dir, "title_original", "doi_original")
+    return linkage.decision_log(records, checkpointed(links))
 
 
 _PRE = "(@ like '10.1101/%' or @ like '10.48550/arxiv%')"
@@ -145,7 +147,8 @@ golden as (select cluster_id, max(case when best = 1 then title_original end) as
 @query(_LINKED + "," + _SURVIVORS + """select cluster_id::bigint as cluster_id, title, title_normalized, doi, preprint_doi, pmid, arxiv_id, abstract, authors, year, venue, date, url,
  array_to_string(sources, '|') as sources, n_sources, all_dois, duplicate_count from golden""")
 def dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    golden = survivorship.survivors(_clustered(spark, sf_dir))
+    more = ["title_original", "doi_original", "arxiv_id_original", "abstract", "authors", "year", "venue", "date", "url"]
+    golden = survivorship.survivors(_clustered(spark, sf_dir, *more))
     return golden.withColumn("sources", F.array_join("sources", "|")).withColumn("all_dois", F.array_join("all_dois", "|"))
 
 
@@ -153,7 +156,7 @@ def dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
  string_agg(doi_normalized, '|' order by ord) filter ({_PRE.replace("@", "doi_normalized")}) as preprint_dois, arg_min(left(title_original, 100), ord) as title from linked group by cluster_id
 having count(*) > 1 and count(*) filter (doi_normalized <> '' and not {_PRE.replace("@", "doi_normalized")}) > 0 and count(*) filter ({_PRE.replace("@", "doi_normalized")}) > 0""")
 def preprint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivorship.preprint_links(_clustered(spark, sf_dir)).withColumn("preprint_dois", F.array_join("preprint_dois", "|"))
+    return survivorship.preprint_links(_clustered(spark, sf_dir, "title_original")).withColumn("preprint_dois", F.array_join("preprint_dois", "|"))
 
 
 @query("select record_id, coalesce(doi_normalized like '10.1101/%' or doi_normalized like '10.48550/arxiv%', false) as is_preprint from unified_records")
@@ -177,7 +180,8 @@ def records_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINKED + "select split_part(reason, ':', 1) as reason, count(*) as n from linked where root <> ord group by 1")
 def merge_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.reason_counts(linkage.decision_log(*_linked(spark, sf_dir)))
+    _, links = _linked(spark, sf_dir)
+    return stats.reason_counts(links.select(F.when(F.col("root") != F.col("ord"), "MERGE").alias("action"), "reason"))
 
 
 @query("select n_sources, count(*) as n_records from deduplicated_records group by 1")

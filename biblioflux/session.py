@@ -33,8 +33,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which the driver removes at its end (results that are read lazily need it until then)."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    # only paths that exist are registered
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like checkpointed, as a compressed table in the shared folder: for rows with long texts, which a checkpoint keeps uncompressed."""
-    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = own_folder(df.sparkSession, "kept")
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -60,3 +60,16 @@ def test_published_texts():
     assert [len(x.items) for x in trees["springernature", "main"].items[0].items] == [20, 14, 14]
     assert [len(x.items) for x in trees["arxiv", "primary"].items[0].items] == [11, 12, 8] and len(trees["arxiv", "primary"].items[1].items) == 6
     assert trees["google_scholar", "gs_q2"] == And((Term("GPT"), Term("single cell"), Term("gene expression"), Term("generative")))
+
+
+def test_facets_without_a_column_decide_nothing(rows):
+    df = rows([("single cell", None, "2018"), ("single gene", None, "2017")], "title string, abstract string, year string")
+    columns = {"title": F.col("title"), "abstract": F.col("abstract"), "year": F.col("year")}
+
+    def found(query):
+        return sorted(r["title"] for r in df.filter(search(query, "scopus", columns)).collect())
+
+    assert found("cell AND NOT LANGUAGE(German)") == ["single cell"]
+    assert found("NOT (LANGUAGE(German) AND gene)") == ["single cell", "single gene"]
+    assert found("single AND(cell OR gene) AND PUBYEAR >= 2018") == ["single cell"]
+    assert found('single AND PUBYEAR <= 2017 AND LIMIT-TO(DOCTYPE,"ar")') == ["single gene"]
