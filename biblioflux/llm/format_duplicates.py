@@ -6,7 +6,6 @@ one range at a time, and no machine ever holds them all.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from biblioflux.functions.identifiers import canonical_doi, is_placeholder
 from biblioflux.operators.skew import join_aggregate
-from biblioflux.session import checkpointed, shared_dir
+from biblioflux.session import checkpointed, own_folder
 
 #: Rows of a hash range, on average; with BITS_PER_ROW (up to twice as many, as bits are a power of two) the filter of a range has at
 #: most 128 MiB.
@@ -152,7 +151,7 @@ def marked_rows(df: DataFrame, row_id: str, key: Column) -> DataFrame:
     ranges = max(1, -(-rows // ROWS_PER_RANGE))
     bits = filter_bits(-(-rows // ranges))
     segment_bits = min(bits, SEGMENT_BITS)
-    folder = f"{shared_dir(spark)}/copies-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "copies")
     keyed = df.select(F.col(row_id), key.alias("__key")).withColumn("__hash", F.xxhash64("__key"))
     keyed = keyed.withColumn("hash_range", F.when(F.col("__key").isNotNull(), F.pmod(F.shiftrightunsigned("__hash", 40), F.lit(ranges))).otherwise(-1).cast("int"))
     keyed.write.partitionBy("hash_range").parquet(f"{folder}/keys")

@@ -19,13 +19,18 @@ POSING = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v",
+    "ο": "o", "ν": "v", "Ϲ": "C", "ϲ": "c", "ϳ": "j",
+    "Ѵ": "V", "ѵ": "v", "Ӏ": "I", "ӏ": "l", "Ү": "Y", "ү": "y", "Ԛ": "Q", "Ԝ": "W",
+    "Օ": "O", "օ": "o", "Ս": "U", "ս": "u", "Տ": "S", "հ": "h", "ո": "n", "ց": "g",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
 #: Read without Latin letters beside them in their word, these are taken for symbols.
 ONLY_IN_WORDS = set("ν")
 INVISIBLE = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" and not 0xE0000 <= c] + [chr(c) for c in range(0xFE00, 0xFE10)] + ["͏"]
 SPACES = [chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs" and c != 0x20]
 WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)]
+#: Forms of Latin letters and digits for mathematics, Roman numerals and ligatures, by their compatibility decompositions.
+STYLED = [chr(c) for r in ((0x1D400, 0x1D800), (0x2160, 0x2180), (0xFB00, 0xFB07)) for c in range(*r) if unicodedata.normalize("NFKC", chr(c)).isascii()]
 #: What a text must hold for a rewrite to be possible, as a Java pattern: everything rewritten lies above Latin letters but for two.
 SUSPECT = r"[\xa0\xad\x{250}-\x{10ffff}]"
 _SEGMENT = re.compile(r"[;|\t\r\n,/•·]+")
@@ -62,7 +67,7 @@ def lookalike_classes() -> dict[str, list[str]]:
     letter with a combining accent and the composed Latin letter are closed.
     """
     c = Classes()
-    for ch in WIDE:
+    for ch in WIDE + STYLED:
         c.join(ch, unicodedata.normalize("NFKC", ch))
     for ch in INVISIBLE:
         c.join(ch, "")
@@ -124,6 +129,8 @@ def _script(ch: str) -> str:
         return "G"
     if 0x400 <= c < 0x530 or 0x2DE0 <= c < 0x2E00 or 0xA640 <= c < 0xA6A0:
         return "C"
+    if 0x530 <= c < 0x590 or 0x13A0 <= c < 0x1400:  # Armenian, Cherokee
+        return "A"
     return "L" if c < 0x250 or 0x1E00 <= c < 0x1F00 or 0xFF21 <= c < 0xFF5B else "O"
 
 
@@ -153,7 +160,7 @@ class Rewriter:
             latin = any(ch.isalpha() and _script(ch) == "L" for ch in plain)
             for w in _WORD.finditer(plain) if latin else ():
                 kinds = [_script(ch) for ch in w[0]]
-                foreign = [k for k, s in enumerate(kinds) if s in "GC"]
+                foreign = [k for k, s in enumerate(kinds) if s in "GCA"]
                 if not foreign:
                     continue
                 mixed = "L" in kinds
@@ -168,7 +175,7 @@ class Rewriter:
         spots: set[int] | None = None
         for end, (m, r) in self.automaton.iter_long(text):
             begin = end - len(m) + 1
-            if m and _script(m[0]) in "GC" and unicodedata.normalize("NFD", m)[0] in POSING and not (r and _script(r[0]) == _script(m[0])):
+            if m and _script(m[0]) in "GCA" and unicodedata.normalize("NFD", m)[0] in POSING and not (r and _script(r[0]) == _script(m[0])):
                 spots = self.posing_spots(text) if spots is None else spots
                 if begin not in spots:
                     continue

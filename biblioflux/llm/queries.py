@@ -15,7 +15,7 @@ from biblioflux.llm.packing import pack_documents, token_counts
 from biblioflux.llm.record_survivors import surviving_fields
 from biblioflux.llm.sql import P2_FOUND, P6_FOUND, P9_STATS
 from biblioflux.llm.text_quality import text_forms, text_rules
-from biblioflux.llm.truncation import cut_records, cut_shares
+from biblioflux.llm.truncation import cut_records, cut_shares, is_no_text
 from biblioflux.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "deduplicated_records").filter("abstract_source is not null")
+    # a null source is a group of its own; what is no text counts for none
+    records = table(spark, sf_dir, "deduplicated_records").filter(~is_no_text(F.col("abstract")))
     return cut_shares(cut_records(records, "cluster_id", "abstract", "abstract_source"), "abstract_source")
 
 
