@@ -96,6 +96,7 @@ def lookalike_classes() -> dict[str, list[str]]:
 def class_counts(df: DataFrame, fields: list[str]) -> dict[str, int]:
     """Occurrences in the whole corpus of every member of a class; at most one row per member reaches the driver."""
     members = {m for ms in lookalike_classes().values() for m in ms}
+    spelled = [m for m in members if len(m) > 1 and m.isascii()]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
@@ -103,6 +104,8 @@ def class_counts(df: DataFrame, fields: list[str]) -> dict[str, int]:
             for f in fields:
                 text = "\n".join(pdf[f].dropna())
                 n.update(text)
+                for m in spelled:
+                    n[m] += text.count(m)
                 for seq in re.findall("[^\\W\\d_][̀-ͯ]+", text):
                     n[seq] += 1
         rows = [(k, v) for k, v in n.items() if k in members]

@@ -12,7 +12,7 @@ from biblioflux.llm import leakage, lookalikes, packing, text_quality, truncatio
 def test_rewriting(rows):
     cases = {
         "Ｌａｎｇｕａｇｅ model": "Language model", "Nørthwen\xa0Tidra": "Nørthwen Tidra", "e\u0301te\u0301": "été", "De\u200bdul\u00adiku": "Deduliku", "Trоlin": "Trolin", "ЅМАLL": "SMALL",
-        "𝐏rompt 𝒎odel": "Prompt model", "ﬁne proﬁles": "fine profiles", "Phase Ⅱ": "Phase II", "Օmni cells": "Omni cells", "ᎪTLAS": "ATLAS", "mode\u04cf": "model", "Մարդ cell": "Մարդ cell",
+        "II II first fine profile": "II II first fine profile", "𝐏rompt 𝒎odel": "Prompt model", "ﬁne proﬁles": "fine profiles", "Phase Ⅱ": "Phase II", "Օmni cells": "Omni cells", "ᎪTLAS": "ATLAS", "mode\u04cf": "model", "Մարդ cell": "Մարդ cell",
         "TGFβ and γδ T cells": "TGFβ and γδ T cells", "Громыхова Велта": "Громыхова Велта", "Βαλτοράκη Μένη": "Βαλτοράκη Μένη", "Tölquіpur WЕ": "Tölquipur WE", "Lee, Н": "Lee, Н",
         "Zed Н": "Zed H", "а\u0301b": "áb", "Dӧr": "Dör", "Müller\tglia\n": "Müller\tglia\n", "plain": "plain",
     }
